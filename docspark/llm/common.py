@@ -196,3 +196,10 @@ def words_of(texts: list[bytes], values: np.ndarray = ALNUM) -> Words:
     h = mix64((total[end - 1] - total[start - 1]) * down[start])
     offsets = np.cumsum([1, *(len(t) + 1 for t in texts)])
     return Words(buf, start, end, h, np.searchsorted(start, offsets), total)
+
+
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """df, written to the shared folder and read again: its lineage is cut, and its size is known to the planner."""
+    path = scratch(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm import decontamination, toxicity
+from docspark.llm import decontamination, minhash, toxicity
 from docspark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,3 +52,11 @@ from words left join hit using (r) left join listed using (r)
 
 QUERIES: dict[str, Query] = {"op8_toxicity": op8_toxicity, "op9_decontamination": op9_decontamination}
 ORACLE_SQL: dict[str, str] = {"op9_decontamination": OP9_SQL}
+
+
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, _ = minhash.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "class_id")
+
+
+QUERIES["op6_minhash"] = op6_minhash
