@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm import decontamination, minhash, toxicity
+from docspark.llm import decontamination, minhash, mixing, toxicity
 from docspark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,3 +60,40 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op6_minhash"] = op6_minhash
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.allocate(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP3_SQL = r"""
+with d as (
+  select doc_id, source, md5(coalesce(text, '')) as key, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size from documents),
+e as (
+  select *, case when size < 2 then 0.25::double when size < 8 then 0.5::double when size < 32 then 0.75::double else 1.0::double end as w from d),
+s as (
+  select source, sum(size)::bigint as source_size, [3, 1, 2][(row_number() over (order by source nulls last) - 1) % 3 + 1]::double as weight from e group by source),
+f as (select *, 2 * source_size::double as cap, 2 * source_size::double / weight as fill from s),
+g as (
+  select *, (1.5::double * (sum(source_size) over ())::double - coalesce(sum(cap) over before, 0)) / (sum(weight) over () - coalesce(sum(weight) over before, 0)) as level
+  from f window before as (order by fill, source nulls last rows between unbounded preceding and 1 preceding)),
+t as (select source, source_size, least(cap, coalesce(max(level) filter (level <= fill) over (), 'inf'::double) * weight) as target from g),
+k as (select e.source, target, w, sum(size)::double as words from e join t on e.source is not distinct from t.source group by all),
+c1 as (
+  select *, (target - 2 * coalesce(sum(words) over (partition by source order by w desc rows between unbounded preceding and 1 preceding), 0))
+    / nullif(sum(words * w) over (partition by source order by w desc rows between current row and unbounded following), 0) as c from k),
+c as (select source, coalesce(max(c) filter (c * w <= 2), 'inf'::double) as c from c1 group by source),
+x as (
+  select e.*, t.source_size, t.target, case when size > 0 then least(2::double, c.c * w) else 0::double end as expected,
+    (('0x' || substr(md5(concat_ws(':', coalesce(doc_id::varchar, '-'), key, 'mix-1')), 1, 13))::bigint::double + 0.5::double) / 4503599627370496::double as u
+  from e join t on e.source is not distinct from t.source join c on e.source is not distinct from c.source),
+y as (select *, floor(expected)::bigint as whole, expected - floor(expected) as p from x),
+z as (
+  select *, target - sum(whole * size) over (partition by source) as want, (u / (1 - u)) / (p / (1 - p)) as odds from y),
+o as (select *, coalesce(sum(case when p > 0 then size end) over (partition by source order by (p > 0) desc, odds, doc_id, key rows between unbounded preceding and 1 preceding), 0) as ahead from z)
+select doc_id, size, source_size, target, ((whole + case when p > 0 and ahead + size / 2.0::double <= want then 1 else 0 end) * size)::bigint as taken from o
+"""
+
+QUERIES["op3_mixing"] = op3_mixing
+ORACLE_SQL["op3_mixing"] = OP3_SQL
