@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm import decontamination, minhash, mixing, toxicity
+from docspark.llm import decontamination, minhash, mixing, secrets, toxicity
 from docspark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,3 +97,11 @@ select doc_id, size, source_size, target, ((whole + case when p > 0 and ahead +
 
 QUERIES["op3_mixing"] = op3_mixing
 ORACLE_SQL["op3_mixing"] = OP3_SQL
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, _ = secrets.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
+QUERIES["op10_secrets"] = op10_secrets
