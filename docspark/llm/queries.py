@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm import decontamination, minhash, mixing, secrets, toxicity
+from docspark.llm import decontamination, language, minhash, mixing, secrets, toxicity
 from docspark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -105,3 +105,12 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op10_secrets"] = op10_secrets
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out, name, score = language.identify(docs.select("doc_id", "text"), language.train(docs.select("doc_id", "text", "lang")))
+    return out.select("doc_id", language.held_out("doc_id").alias("held_out"), F.col(name).alias("lang_pred"), F.col(score).alias("score"))
+
+
+QUERIES["op7_language"] = op7_language
