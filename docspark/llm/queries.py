@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm import decontamination, language, minhash, mixing, secrets, toxicity
+from docspark.llm import decontamination, language, minhash, mixing, pii, secrets, toxicity
 from docspark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -114,3 +114,11 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op7_language"] = op7_language
+
+
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, _ = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
+QUERIES["op1_pii"] = op1_pii
