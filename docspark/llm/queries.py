@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm import decontamination, language, minhash, mixing, pii, secrets, toxicity
+from docspark.llm import decontamination, language, minhash, mixing, pii, quality, secrets, toxicity
 from docspark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -122,3 +122,12 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op1_pii"] = op1_pii
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out, _ = quality.judge(docs, quality.log_ratios(docs, table(spark, sf_dir, "labels").where("quality = 1")))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ratio")
+
+
+QUERIES["op5_quality"] = op5_quality
