@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm import decontamination, language, minhash, mixing, pii, quality, secrets, toxicity
+from docspark.llm import decontamination, language, licenses, minhash, mixing, pii, quality, secrets, toxicity
 from docspark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -131,3 +131,18 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op5_quality"] = op5_quality
+
+
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, _ = licenses.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = out.withColumn("bases", F.filter("detections", lambda d: d["base"] == 1))
+    labels = lambda *c: F.array_join(F.array_sort(F.array_distinct(F.concat(*(F.transform(x, lambda d: d["label"]) for x in c)))), ",")
+    starts = F.transform("bases", lambda d: d["start"].cast("long"))
+    return out.select(
+        "doc_id", "n_words", F.size("bases").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        labels("bases").alias("base_labels"), labels("bases", "kept").alias("labels"),
+        F.coalesce(F.array_max(F.transform("kept", lambda d: d["prio"])) / 100.0, F.lit(0.0)).cast("double").alias("score"),
+    )
+
+
+QUERIES["op4_licenses"] = op4_licenses
