@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm import decontamination, language, licenses, minhash, mixing, pii, quality, secrets, toxicity
+from docspark.llm import decontamination, language, licenses, minhash, mixing, pii, quality, secrets, toxicity, warc
 from docspark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -146,3 +146,22 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op4_licenses"] = op4_licenses
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.archive(spark, table(spark, sf_dir, "pages"))
+    return warc.read(archives, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP2_SQL = r"""
+with p as (select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as h from pages),
+f as (select h, min(page_id) as first from p group by h)
+select page_id, strlen(html)::bigint as payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, (i // 4 * 5 + 1)::bigint, 5))::bigint >> (15 - i % 4 * 5)::bigint) & 31) + 1, 1)), '') as payload_digest,
+  case when page_id is distinct from first and first is not null then 'revisit' else 'response' end as record_type,
+  case when page_id is distinct from first then first end as refers_to
+from p join f using (h)
+"""
+
+QUERIES["op2_warc"] = op2_warc
+ORACLE_SQL["op2_warc"] = OP2_SQL
