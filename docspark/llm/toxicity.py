@@ -97,7 +97,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) ->
     some = labels.where(F.col("toxic").isin(0, 1) & ~held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
     # twice as many as are wanted, since a label may have no document
     some = some.orderBy(spread("doc_id"), "doc_id").limit(2 * most)
-    both = docs.where("text is not null").select("doc_id", "text").join(some, "doc_id")
+    both = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(some), "doc_id")  # 2 * most ids
     return both.groupBy("doc_id").agg(F.min(F.struct("text", "label")).alias("x")).orderBy(spread("doc_id"), "doc_id").limit(most).select("doc_id", "x.text", "x.label")
 
 
