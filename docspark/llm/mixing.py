@@ -19,8 +19,9 @@ WEIGHTS, SHARE, MOST, SEED = (3, 1, 2), 1.5, 2, "mix-1"
 WORD = r"[^\x20\x09-\x0D]+"
 #: A document of 2**k words or more, up to the next power of two, is in class k; those of small classes weigh less.
 CLASS_WEIGHTS = (0.25, 0.5, 0.5, 0.75, 0.75)
-#: A source's ranks are summed up in so many slots, so that no task holds more than a slot of a source in order.
-SLOTS = 4096
+#: A source's ranks are summed up in slots of the logarithm of the odds, so many for each unit and so many in all; no
+#: task holds more than a slot of a source in order, whatever the inclusion odds are.
+SLOTS_PER_UNIT, SLOTS = 512, 512 * 160
 #: Tables of sources with up to this many rows are broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 100_000
 
@@ -109,7 +110,7 @@ def ranked(rows: DataFrame, sources: DataFrame) -> DataFrame:
     rows = _with_sources(rows, sources).withColumn("expected", expected).withColumn("whole", F.floor("expected").cast("long")).withColumn("p", F.col("expected") - F.col("whole"))
     u = uniform(F.col("doc_id"), F.col("text_key"))
     rows = rows.withColumn("odds", F.when(F.col("p") > 0, (u / (1 - u)) / (F.col("p") / (1 - F.col("p")))))
-    return rows.withColumn("slot", F.floor(F.col("odds") / (1 + F.col("odds")) * SLOTS).cast("int"))
+    return rows.withColumn("slot", F.floor((F.ln("odds") + 80) * SLOTS_PER_UNIT).cast("int"))
 
 
 def _cut_rows(rows: DataFrame) -> DataFrame:
