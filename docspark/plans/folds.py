@@ -1 +1,158 @@
-QUERIES: dict = {}
+"""The ordered folds over whole tables: a fold runs for each document, page, job or conversation.
+
+Their groups are single documents (or pages, jobs, conversations), so no group grows with the table.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+
+from docspark.cluster import ship
+from docspark.functions.dialect import SPARK
+from docspark.operators import folds
+from docspark.plans.catalog import TABLES
+from docspark.plans.views import with_views
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    text = with_views(SPARK, sql)
+    for name in TABLES:
+        if name in text:
+            spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+    return spark.sql(text)
+
+
+def grouped(name: str, sql: str, by: list[str], schema: str):
+    """Registers f(rows of a group, in the order of the columns after `by`) -> rows, as a query."""
+
+    def add(f: Callable[[pd.DataFrame], list[tuple]]):
+        columns = [x.strip().split(" ")[0] for x in schema.split(",")]
+
+        def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+            rows = rows.sort_values([c for c in rows.columns if c not in by], kind="stable")
+            return pd.DataFrame([(*key, *out) for out in f(rows)], columns=[*by, *columns])
+
+        def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            df = view(spark, sf_dir, sql)
+            kinds = dict(df.dtypes)
+            return df.groupBy(*by).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in by) + ", " + schema)
+
+        QUERIES[name] = query
+        return f
+
+    return add
+
+
+LINES = "select doc_id, seq, page, text, font_size, y, x from v_lines"
+FRAGMENTS = (
+    "select doc_id, page, seq, place, piece, x + cast(30 * place + case when place % 7 = 3 then 40 else 0 end as double) as at, cast(5 * length(piece) as double) as width, y + cast(place % 3 as double) as base, font_size "
+    "from (select * from v_lines) lateral view posexplode(split(text, ' ')) p as place, piece"
+)
+
+
+@grouped("c01_join_fragments", FRAGMENTS, ["doc_id", "seq"], "line string")
+def _(rows):
+    return [(folds.join_fragments(zip(rows.piece, rows["at"], rows.width, strict=True), rows.font_size.iloc[0]),)]
+
+
+@grouped("f03_cells", FRAGMENTS, ["doc_id", "seq"], "cell string, left_x double")
+def _(rows):
+    return folds.cells(zip(rows.piece, rows["at"], rows.width, strict=True), rows.font_size.iloc[0])
+
+
+@grouped("f01_baselines", FRAGMENTS, ["doc_id", "page"], "line_count long, fragments long")
+def _(rows):
+    return [(len(set(folds.baselines(list(zip(rows.base, rows["at"], rows.font_size, strict=True))))), len(rows))]
+
+
+@grouped("e02_clusters", "select page, rect_id, x from v_rects", ["page"], "centre double")
+def _(rows):
+    return [(c,) for c in folds.cluster(rows.x, 30.0)]
+
+
+@grouped("f04_paragraphs", LINES, ["doc_id"], "first_line long, members long, size double, body string")
+def _(rows):
+    paras = folds.paragraphs(zip(rows.text, rows.font_size, rows.y, rows.page, [0] * len(rows), strict=True), 10.0)
+    return [(p["first"], len(p["texts"]), p["size"], " ".join(p["texts"])) for p in paras]
+
+
+@grouped("f08_rejoined", LINES, ["doc_id"], "place long, page long, body string")
+def _(rows):
+    return [(k, page, text) for k, (text, page) in enumerate(folds.rejoin(zip(rows.text, rows.page, strict=True)))]
+
+
+@grouped("a17_segments", LINES, ["doc_id"], "first_line long, body string")
+def _(rows):
+    return [(p["first"], " ".join(p["texts"])) for p in folds.paragraphs(zip(rows.text, rows.font_size, rows.y, rows.page, [0] * len(rows), strict=True), 0.0)]
+
+
+@grouped("d07_suppressed", "select page, rect_id, x, y, w, h from v_rects", ["page"], "rect_id long")
+def _(rows):
+    keep = folds.suppress(list(zip(rows.x, rows.y, rows.w, rows.h, rows.w * rows.h, strict=True)))
+    return [(int(rows.rect_id.iloc[i]),) for i in keep]
+
+
+@grouped("e26_components", "select page, rect_id, x, y, w, h from v_rects", ["page"], "x0 double, y0 double, x1 double, y1 double")
+def _(rows):
+    return folds.merge_boxes(zip(rows.x, rows.y, rows.x + rows.w, rows.y + rows.h, strict=True))
+
+
+@grouped("a04_placements", "select page, rect_id, x, y, w, h from v_rects", ["page"], "name string, px double, py double, pw double, ph double")
+def _(rows):
+    ops = []
+    for r in rows.itertuples():
+        ops += [("save", ()), ("transform", (r.w, 0, 0, r.h, r.x, r.y)), ("paint", str(r.rect_id)), ("restore", ())]
+    return folds.placements(ops)
+
+
+@grouped("f17_frozen", "select doc_id, unit_id, full_source from v_masked", ["doc_id", "unit_id"], "masked string, tokens long, round_trip boolean")
+def _(rows):
+    text = rows.full_source.iloc[0]
+    masked, kept = folds.freeze(text)
+    return [(masked, len(kept), folds.restore(masked, kept) == text)]
+
+
+@grouped("f16_batch_parts", "select conv_id, turn, text from conversations", ["conv_id"], "parts long")
+def _(rows):
+    texts = [" ".join(str(x).split()) or "-" for x in rows.text]
+    parts = folds.split_batch("\n".join(f"{k + 1}. {x}" for k, x in enumerate(texts)), len(texts))
+    return [(len(parts) if parts else None,)]
+
+
+@grouped("f11_wrapped", LINES, ["doc_id"], "lines long")
+def _(rows):
+    return [(sum(len(folds.wrap([(w, True) for w in str(x).split()], 10.0, 400.0)) for x in rows.text),)]
+
+
+@grouped("f10_pages", LINES, ["doc_id"], "pages long")
+def _(rows):
+    return [(max(folds.paginate(rows.font_size * 1.6, 700.0)) + 1,)]
+
+
+@grouped("f14_eta", "select job_id, ts, seq, progress from v_job_events", ["job_id"], "seq long, eta double")
+def _(rows):
+    seconds = rows.ts.astype("int64") / 1e9
+    return list(zip(rows.seq, folds.eta(zip(seconds - seconds.iloc[0], rows.progress, strict=True)), strict=True))
+
+
+@grouped("f21_notices", "select job_id, ts, seq, status from v_job_events", ["job_id"], "place long, notice string")
+def _(rows):
+    return list(enumerate(folds.notices(rows.status)))
+
+
+@grouped("f18_chain", "select conv_id, turn, length(left_text) as a, length(right_text) as b from v_pairs", ["conv_id"], "i long, j long, weight double")
+def _(rows):
+    return folds.best_chain((int(i), int(b) % 17, float(a % 13 + 1)) for i, a, b in zip(rows.turn, rows.a, rows.b, strict=True))
+
+
+@grouped("f19_alignment", "select conv_id, turn, left_text, right_text from v_pairs", ["conv_id"], "i long, j long, score double")
+def _(rows):
+    bags = [[set(str(x).lower().split()) for x in c] for c in (rows.left_text, rows.right_text)]
+    return folds.align(np.array([[len(a & b) / max(1, len(a | b)) for b in bags[1]] for a in bags[0]]), least=0.0)
