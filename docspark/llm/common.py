@@ -198,8 +198,16 @@ def words_of(texts: list[bytes], values: np.ndarray = ALNUM) -> Words:
     return Words(buf, start, end, h, np.searchsorted(start, offsets), total)
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """df, written to the shared folder and read again: its lineage is cut, and its size is known to the planner."""
-    path = scratch(df.sparkSession, what)
-    df.write.parquet(path)
+def stored(df: DataFrame, what: str, batch: int | None = None) -> DataFrame:
+    """df, written to the shared folder and read again: its lineage is cut, and its size is known to the planner.
+
+    batch: rows of an Arrow batch while it is made, where rows are large.
+    """
+    path, key = scratch(df.sparkSession, what), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = df.sparkSession.conf.get(key)
+    try:
+        df.sparkSession.conf.set(key, batch or before)
+        df.write.parquet(path)
+    finally:
+        df.sparkSession.conf.set(key, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)

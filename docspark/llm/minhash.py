@@ -6,8 +6,8 @@
    latest register, so most shingles arrive once or twice. Two registers agree with the probability Jaccard similarity.
 3. Nodes with an equal band of registers share a bucket. The bucket's leader is the member that shares most buckets with
    others, so a group of copies is compared with its centre, not pair by pair. Leader pairs are verified exactly.
-4. Members of a bucket that are still in different components are compared by signature in blocks of bounded size; pairs
-   that may be similar are verified exactly. So a bucket loses no link, however large it is.
+4. Members of a bucket that are still in different components are compared in blocks of bounded size, by signature and
+   then exactly; a pair of blocks gives one link for each two components. So a bucket loses no link, however large.
 5. Connected components of the links are the classes.
 """
 
@@ -28,8 +28,12 @@ BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
 #: A pair is verified if at least this share of registers agrees: over four standard deviations below THRESHOLD.
 SCREEN = 0.64
-#: Signatures that are compared at once.
-BLOCK = 256
+#: Bytes of signatures or shingles that are compared with each other at once.
+REST_BYTES, ALL_BYTES = 2 << 20, 1 << 18
+#: Rows of an Arrow batch: of pairs of blocks, and of pairs of texts.
+PAIR_ROWS, TEXT_ROWS = 8, 1000
+#: Tables of nodes with up to this many rows, of 24 bytes each, are broadcast; larger ones are joined by shuffle.
+BROADCAST_ROWS = 500_000
 _DOC_BITS = 12
 _MASK = np.uint64((1 << (64 - _DOC_BITS)) - 1)
 
@@ -91,7 +95,7 @@ def similarities(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarr
 
 
 def _sketch(nodes_texts: DataFrame) -> DataFrame:
-    """(node, text) -> (node, bands, sketch)."""
+    """(node, text) -> (node, bands, sketch). A sketch is 16 bits of each register, then the bands."""
     fields = [T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())]
 
     def make():
@@ -109,7 +113,7 @@ def _sketch(nodes_texts: DataFrame) -> DataFrame:
                 some = w.counts > 0
                 short = mix64(who).astype(np.uint16)
                 bands += [x.tolist() if k else None for x, k in zip(band.view(np.int64), some, strict=True)]
-                sketches += [x.tobytes() if k else None for x, k in zip(short, some, strict=True)]
+                sketches += [x.tobytes() + b.tobytes() if k else None for x, b, k in zip(short, band, some, strict=True)]
             return [bands, sketches]
 
         return sketch
@@ -119,9 +123,7 @@ def _sketch(nodes_texts: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Of pairs(u, v) of nodes, those whose texts are similar enough."""
-    needed = stored(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().select("node.doc_id", "node.key"), "needed")
-    found = texts.join(needed, (texts.doc_id == needed.doc_id) & (texts.key == needed.key), "left_semi")
-    found = stored(found.dropDuplicates(["doc_id", "key"]).select(F.struct("doc_id", "key").alias("node"), "text"), "texts")
+    found = _texts(pairs.select(F.explode(F.array("u", "v")).alias("node")), texts)
     both = pairs.join(found.select(F.col("node").alias("u"), F.col("text").alias("text_u")), "u").join(found.select(F.col("node").alias("v"), F.col("text").alias("text_v")), "v").select("u", "v", "text_u", "text_v")
 
     def verify(batches):
@@ -144,41 +146,154 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(verify, both.select("u", "v").schema)
 
 
-def _in_blocks(buckets: DataFrame, sketches: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs (u, v) of members of one bucket that may be similar and are in different components.
+def _texts(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, text) of the wanted nodes, once each. Up to BROADCAST_ROWS nodes are sent to the texts; else both are dealt by id."""
+    needed = stored(nodes.distinct().select("node.doc_id", "node.key"), "needed")
+    needed = F.broadcast(needed) if needed.count() <= BROADCAST_ROWS else needed.hint("merge")
+    found = texts.join(needed, ["doc_id", "key"], "left_semi")
+    return stored(found.dropDuplicates(["doc_id", "key"]).select(F.struct("doc_id", "key").alias("node"), "text"), "texts")
+
+
+def _block_pairs(members: DataFrame) -> DataFrame:
+    """For members(band, node, root, main, sketch, ...) rows (band, some, all), lists of members of bounded bytes.
+
+    Every member outside its bucket's main component meets every member of the bucket, itself too. The former are in
+    blocks of REST_BYTES, the latter in blocks of ALL_BYTES that are dealt out once for each block of the former.
+    """
+    payload = [c for c in members.columns if c not in ("band", "node", "root", "main")]
+    size = sum((F.octet_length(c) for c in payload), F.lit(64))
+    away = F.col("root") != F.col("main")
+    blocks = members.groupBy("band").agg(F.ceil(F.sum(size) / ALL_BYTES).cast("int").alias("alls"), F.ceil(F.sum(F.when(away, size)) / REST_BYTES).cast("int").alias("rests")).where("rests > 0")
+    members = members.join(stored(blocks, "blocks"), "band")
+    member = F.struct("node", "root", *payload)
+    dealt = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = members.groupBy("band", dealt("alls").alias("block")).agg(F.collect_list(member).alias("all"), F.first("rests").alias("n"))
+    rest = members.where(away).groupBy("band", dealt("rests").alias("b")).agg(F.collect_list(member).alias("some"))
+    return every.withColumn("b", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).join(rest, ["band", "b"]).select("band", "some", "all")
+
+
+def _sides(batch: pa.RecordBatch, row: int):
+    """The two lists of members of a row of _block_pairs, and their roots as numbers."""
+    both = [batch.column(k).slice(row, 1).flatten() for k in (1, 2)]
+    number: dict[tuple, int] = {}
+    roots = [np.array([number.setdefault((n["doc_id"], n["key"]), len(number)) for n in x.field("root").to_pylist()]) for x in both]
+    return both, roots
+
+
+def _near(both: list, roots: list[np.ndarray], band: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of members in different components whose signatures agree on SCREEN of the registers or more.
+
+    A pair that shares several bands is a pair in the first of them only.
+    """
+    raw = [np.frombuffer(b"".join(x.field("sketch").to_pylist()), dtype=np.uint8).reshape(len(x), -1) for x in both]
+    a, b = (np.ascontiguousarray(x[:, : 2 * REGISTERS]).view(np.uint16) for x in raw)
+    bands_a, bands_b = (np.ascontiguousarray(x[:, 2 * REGISTERS :]).view(np.int64) for x in raw)
+    found = []
+    for row, own, root in zip(a, bands_a, roots[0], strict=True):
+        near = np.flatnonzero((np.count_nonzero(b == row, axis=1) >= SCREEN * REGISTERS) & (roots[1] != root))
+        found.append(near[own[(bands_b[near] == own).argmax(axis=1)] == band] if len(near) else near)
+    return np.repeat(np.arange(len(a)), [len(x) for x in found]), np.concatenate(found) if found else np.zeros(0, dtype=np.int64)
+
+
+def _suspects(batches):
+    """Members that have a near pair in a bucket, whichever the partner: no more rows than members of the blocks."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            both, roots = _sides(batch, row)
+            for x, i in zip(both, _near(both, roots, batch.column(0)[row].as_py()), strict=True):
+                at = pa.array(np.unique(i), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.repeat(batch.column(0)[row], len(at)), x.field("node").take(at)], ["band", "node"])
+
+
+def common(a: list[np.ndarray], b: list[np.ndarray], columns: int = 1 << 13) -> np.ndarray:
+    """How many elements each set of a shares with each of b, by products of 0/1 matrices of so many columns."""
+    left, right = np.concatenate(a), np.concatenate(b)
+    shared = np.intersect1d(left, right)
+    out = np.zeros((len(a), len(b)), dtype=np.float32)
+
+    def cells(sets, flat):
+        owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        at = np.minimum(np.searchsorted(shared, flat), max(0, len(shared) - 1))
+        held = shared[at] == flat if len(shared) else np.zeros(len(flat), dtype=bool)
+        return owner[held], at[held]
+
+    sides = [cells(a, left), cells(b, right)]
+    for lo in range(0, len(shared), columns):
+        one = []
+        for sets, (owner, at) in zip((a, b), sides, strict=True):
+            own = (at >= lo) & (at < lo + columns)
+            m = np.zeros((len(sets), columns), dtype=np.float32)
+            m[owner[own], at[own] - lo] = 1
+            one.append(m)
+        out += one[0] @ one[1].T
+    return out
+
+
+def _exact(batches):
+    """Links between components, verified; of links that join the same two components in a pair of blocks, one."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            both, roots = _sides(batch, row)
+            i, j = _near(both, roots, batch.column(0)[row].as_py())
+            if not len(i):
+                continue
+            sets = [[np.frombuffer(h, dtype=np.uint64) for h in x.field("shingles").to_pylist()] for x in both]
+            counts = [[np.frombuffer(c, dtype=np.uint32) if c else np.ones(len(s), dtype=np.uint32) for c, s in zip(x.field("counts").to_pylist(), side, strict=True)] for x, side in zip(both, sets, strict=True)]
+            ui, uj = np.unique(i), np.unique(j)
+            shared = common([sets[0][k] for k in ui], [sets[1][k] for k in uj])[np.searchsorted(ui, i), np.searchsorted(uj, j)]
+            size = [np.array([len(x) for x in side]) for side in sets]
+            alike = shared / (size[0][i] + size[1][j] - shared)
+            parent = list(range(1 + max(roots[0].max(), roots[1].max())))
+
+            def top(k):
+                while parent[k] != k:  # noqa: B023
+                    parent[k] = parent[parent[k]]  # noqa: B023
+                    k = parent[k]  # noqa: B023
+                return k
+
+            keep = []
+            many = [np.array([c.max(initial=1) > 1 for c in side]) for side in counts]
+            for n in np.flatnonzero((alike >= THRESHOLD - 1e-6) | many[0][i] | many[1][j]).tolist():
+                k, m = int(i[n]), int(j[n])
+                x, y = top(int(roots[0][k])), top(int(roots[1][m]))
+                if x != y and max(similarities((sets[0][k], counts[0][k]), (sets[1][m], counts[1][m]))) >= THRESHOLD - 1e-9:
+                    parent[x] = y
+                    keep.append(n)
+            u, v = both[0].field("node").take(pa.array(i[keep], pa.int64())), both[1].field("node").take(pa.array(j[keep], pa.int64()))
+            yield pa.RecordBatch.from_arrays([u, v], ["u", "v"])
+
+
+def _in_blocks(buckets: DataFrame, sketches: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame:
+    """Verified links (u, v) between members of one bucket that are in different components.
 
     buckets(band, node, leader, size) has the members of buckets of three or more. A bucket whose members are all in
-    one component is done. Else its members outside the leader's component are compared with all members.
+    one component is done. Else its members outside the leader's component meet all members, in blocks: first by
+    signature, then, those that have a near pair, by all their shingles.
     """
-    named = buckets.join(roots.withColumnRenamed("root", "known"), "node", "left").withColumn("root", F.coalesce("known", "node")).drop("known")
+    spark = buckets.sparkSession
+    ship(spark)
+    named = buckets.join(roots.withColumnRenamed("root", "known"), "node", "left").withColumn("root", F.coalesce("known", "node"))
     lead = named.where("node = leader").select("band", F.col("root").alias("main"))
-    open_ = stored(named.join(lead, "band").withColumn("rest", F.col("root") != F.col("main")), "members")
-    counts = open_.groupBy("band").agg(F.count_if("rest").alias("rests")).where("rests > 0")
-    some = open_.join(counts, "band").where("node <> leader").join(sketches, "node")
-    block = lambda n: F.pmod(F.xxhash64("node"), F.ceil(F.col(n) / BLOCK)).cast("int")
-    member = F.struct("node", "root", "sketch")
-    rows = some.groupBy("band", block("size").alias("block")).agg(F.collect_list(member).alias("all"), F.first(F.ceil(F.col("rests") / BLOCK).cast("int")).alias("n"))
-    rest = some.where("rest").groupBy("band", block("rests").alias("b")).agg(F.collect_list(member).alias("some"))
-    both = rows.withColumn("b", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).join(rest, ["band", "b"]).select("some", "all")
-
-    def compare(batches):
-        for batch in batches:
-            for row in range(batch.num_rows):
-                left, right = (batch.column(k).slice(row, 1).flatten() for k in (0, 1))
-                a, b = (np.frombuffer(b"".join(x.field("sketch").to_pylist()), dtype=np.uint16).reshape(len(x), REGISTERS) for x in (left, right))
-                names = [[(n["doc_id"], n["key"]) for n in x.field("node").to_pylist()] for x in (left, right)]
-                roots = [[(n["doc_id"], n["key"]) for n in x.field("root").to_pylist()] for x in (left, right)]
-                i, j = [], []
-                for k in range(len(a)):
-                    near = np.flatnonzero(np.count_nonzero(b == a[k], axis=1) >= SCREEN * REGISTERS)
-                    near = [n for n in near.tolist() if roots[0][k] != roots[1][n]]
-                    i += [k] * len(near)
-                    j += near
-                yield pa.RecordBatch.from_arrays([left.field("node").take(pa.array(i, pa.int64())), right.field("node").take(pa.array(j, pa.int64()))], ["u", "v"])
-
-    ship(buckets.sparkSession)
+    # leader pairs are verified already
+    members = stored(named.join(stored(lead, "main"), "band").where("node <> leader or root <> main").select("band", "node", "root", "main"), "members")
     node = buckets.schema["node"].dataType
-    return both.mapInArrow(compare, T.StructType([T.StructField("u", node), T.StructField("v", node)])).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    seen = _block_pairs(members.join(sketches, "node")).mapInArrow(_suspects, T.StructType([T.StructField("band", T.LongType()), T.StructField("node", node)]))
+    seen = stored(seen, "suspects", PAIR_ROWS).distinct()
+    words = [T.StructField("shingles", T.BinaryType()), T.StructField("counts", T.BinaryType())]
+
+    def make():
+        def sets(_, texts):
+            owner, h, count = shingles(words_of(texts))
+            first = np.searchsorted(owner, np.arange(len(texts) + 1))
+            counts = [count[first[t] : first[t + 1]].astype(np.uint32) for t in range(len(texts))]
+            # counts that are all 1 are left out
+            return [[h[first[t] : first[t + 1]].tobytes() for t in range(len(texts))], [c.tobytes() if c.max(initial=1) > 1 else b"" for c in counts]]
+
+        return sets
+
+    found = append_columns(_texts(seen.select("node"), texts), "text", words, make).drop("text")
+    full = members.join(seen, ["band", "node"]).join(sketches, "node").join(stored(found, "sets"), "node")
+    return _block_pairs(full).mapInArrow(_exact, T.StructType([T.StructField("u", node), T.StructField("v", node)]))
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, str]:
@@ -200,17 +315,18 @@ def classes(docs: DataFrame) -> tuple[DataFrame, str]:
     banded = sketches.select("node", F.explode("bands").alias("band"))
     sizes = banded.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
     shared = stored(banded.join(sizes, "band"), "buckets")
-    weight = shared.groupBy("node").agg(F.sum("size").alias("weight"))
+    weight = stored(shared.groupBy("node").agg(F.sum("size").alias("weight")), "weights")
     leaders = stored(shared.join(weight, "node").groupBy("band").agg(F.max(F.struct("weight", "node")).alias("x")).select("band", F.col("x.node").alias("leader")), "leaders")
     led = stored(shared.join(leaders, "band"), "led")
     pairs = stored(led.where("node <> leader").select(F.greatest("node", "leader").alias("u"), F.least("node", "leader").alias("v")).distinct(), "pairs")
-    links = stored(_verified(pairs, identified), "verified")
-    roots = stored(components(links), "roots")
+    links = stored(_verified(pairs, identified), "verified", TEXT_ROWS)
+    # nodes that are linked to the same centre are in one component; all that this spares is comparisons
+    both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    centres = both.join(weight.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node")).agg(F.max(F.struct("weight", F.col("v").alias("node"))).alias("best"))
+    centres = stored(centres.join(weight, "node").select("node", F.greatest("best", F.struct("weight", "node"))["node"].alias("root")), "centres")
     large = led.where("size > 2")
-    more = stored(_in_blocks(large, sketches.select("node", "sketch"), roots), "more")
-    if not more.isEmpty():
-        links = links.union(stored(_verified(more, identified), "verified"))
-        roots = stored(components(links), "roots")
+    more = stored(_in_blocks(large, sketches.select("node", "sketch"), centres, identified), "more", PAIR_ROWS)
+    roots = stored(components(links.union(more)), "roots")
     named = nodes.where("copies > 1").select("key", "doc_id").join(roots.select(F.col("node.key").alias("key")), "key", "left_anti").union(roots.select("node.key", "root.doc_id"))
     named = stored(named, "classes").withColumnsRenamed({"key": "class_key", "doc_id": "class_of_key"})
     name, key = fresh(docs, "class_id"), fresh(docs, "text_key")
