@@ -69,7 +69,7 @@ def factors(classes: DataFrame, most: int = MOST) -> DataFrame:
     above = Window.partitionBy("source").orderBy(F.desc("w")).rowsBetween(Window.unboundedPreceding, -1)
     below = Window.partitionBy("source").orderBy(F.desc("w")).rowsBetween(0, Window.unboundedFollowing)
     out = classes.withColumns({"full": F.coalesce(F.sum("words").over(above), F.lit(0.0)), "open": F.sum(F.col("words") * F.col("w")).over(below)})
-    out = out.withColumn("c", (F.col("target") - most * F.col("full")) / F.col("open"))
+    out = out.withColumn("c", (F.col("target") - most * F.col("full")) / F.nullif("open", F.lit(0.0)))
     return out.groupBy("source").agg(F.coalesce(F.max(F.when(F.col("c") * F.col("w") <= most, F.col("c"))), F.lit(float("inf"))).alias("c"))
 
 
