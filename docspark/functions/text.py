@@ -15,6 +15,7 @@ from docspark.functions.dialect import SPARK, Spark
 
 # What the patterns and limits of the original behaviour are.
 BULLET = "•●▪◦■"
+GLYPHS = "•▪■□●◦☐☒▸▹"
 LIST_NUMBERED = r"^\s*(?:\([0-9]+(?:\.[0-9]+)*\)|[0-9]+(?:\.[0-9]+)*[.)]\s+|[a-zA-Z][.)]\s+)"
 LIST_BULLET = r"^\s*[•●▪◦■*\-–—―·]\s*"
 BULLET_ONLY = r"^\s*[•●▪◦■*\-–—―·]+\s*\z"
@@ -165,12 +166,17 @@ def garbage(d: Spark, t: str) -> str:
 
 
 def caption_label(d: Spark, t: str) -> str:
-    s = d.sub(t, r"(?i)^\s*(?:Table|Figure)\s+([0-9]+(?:\.[0-9]+)?)", "表 \\1")
-    return d.sub(s, r"([A-Za-z])-\s+([a-z])", "\\1\\2")
+    """A table or figure number as a label, and words that a line end split joined."""
+    s = d.sub(t, r"(?i)^(?:Table|Fig(?:ure)?)\s*([0-9]+)\s*[.:]\s*", "表\\1 ")
+    return d.sub(s, r"([a-z])-\s+([a-z])", "\\1\\2")
 
 
 def drop_glyphs(d: Spark, t: str) -> str:
-    return d.sub(d.sub(t, "[\ue000-\uf8ff]"), rf"^\s*[{BULLET}]+\s*")
+    return d.sub(t, f"[{GLYPHS}\ue000-\uf8ff]")
+
+
+def drop_markers(d: Spark, t: str) -> str:
+    return d.sub(t, rf"^[\s{GLYPHS}►▻*\-–—―·" + "\ue000-\uf8ff]+")
 
 
 def escape(d: Spark, t: str) -> str:
@@ -178,7 +184,7 @@ def escape(d: Spark, t: str) -> str:
 
 
 def chapter(d: Spark, t: str) -> str:
-    return d.like(t, r"(?i)^\s*(?:chapter|part)\s+(?:[0-9]+|[ivxlc]+)(?:[^A-Za-z0-9_]|\z)")
+    return d.like(t, r"(?i)^(?:第\s*[0-9]+\s*章|章\s|Chapter\s*[0-9]+|Appendix(?:[^A-Za-z0-9_]|\z))")
 
 
 def safe_id(d: Spark, t: str) -> str:
@@ -235,6 +241,16 @@ def prose(d: Spark, t: str) -> str:
     return f"({d.length(s)} >= 12 and not ({has}) and not (contains({s}, ', ') and {d.count(s, '[0-9]')} > {d.length(s)} * 0.15))"
 
 
+def benchmark_clean(d: Spark, t: str, fixes: dict[str, str] | None = None) -> str:
+    """Hyphens of line ends, spaces, continuation marks and glued chapter numbers taken out; then fixed replacements."""
+    s = collapse(d, d.sub(t, r"([a-z])-\s+([a-z])", "\\1\\2"))
+    s = d.sub(s, r"(?i)^\(?continued\)?\s*")
+    s = d.sub(s, r"(?i)^[0-9]{1,3}(?:chapter|part)[0-9]?[a-z]?\s*")
+    for wrong, right in (fixes or {}).items():
+        s = f"replace({s}, '{wrong}', '{right}')"
+    return trim(d, s)
+
+
 def words(d: Spark, t: str) -> str:
     return d.count(t, r"\S+")
 
@@ -256,11 +272,12 @@ def atoms(d: Spark, t: str) -> str:
 
 
 def mirror(d: Spark, t: str) -> str:
-    return d.sub(t, r"^https://(?:huggingface\.co|github\.com)/", "https://mirror.invalid/")
+    """The address of a file at the known mirror; other addresses stay."""
+    return d.sub(t, r"^https?://modelscope\.cn/models/(.+?)/resolve/master/(.+)\z", "https://hf-mirror.com/\\1/resolve/main/\\2")
 
 
 def hardware_error(d: Spark, t: str) -> str:
-    return d.like(t, r"(?i)vulkan|cuda|out of memory|device lost|gpu|vram|alloc")
+    return d.like(t, r"(?i)device\s*lost|vk_error|vulkan|out of memory|oom|allocation.*(?:fail|error)|cu(?:da|arses)?\s*error|ggml_(?:vk|cuda)|no (?:valid\s+)?device")
 
 
 def clamp100(d: Spark, n: str) -> str:
@@ -268,7 +285,7 @@ def clamp100(d: Spark, n: str) -> str:
 
 
 def mime(d: Spark, kind: str) -> str:
-    return f"(case {kind} when 'jpeg' then 'image/jpeg' when 'jpg' then 'image/jpeg' else 'image/png' end)"
+    return f"(case lower({kind}) when 'png' then 'image/png' when 'webp' then 'image/webp' when 'gif' then 'image/gif' else 'image/jpeg' end)"
 
 
 def data_uri(d: Spark, kind: str, t: str) -> str:
@@ -278,7 +295,7 @@ def data_uri(d: Spark, kind: str, t: str) -> str:
 def expand_glossary(d: Spark, t: str) -> str:
     """Each glossary key that is a whole ASCII word, in one pass: tokens are marked first, so no expansion is expanded again."""
     keys = sorted(GLOSSARY, key=len, reverse=True)
-    p = rf"(^|[^A-Za-z0-9_])({'|'.join(keys)})([^A-Za-z0-9_]|\z)"
+    p = rf"(^|[^A-Za-z0-9_\x01])({'|'.join(keys)})([^A-Za-z0-9_]|\z)"  # what is marked stays as it is
     out = t
     for _ in range(2):  # neighbours share the character between them
         out = d.sub(out, p, "\\1\u0001\\2\u0002\\3")
@@ -288,12 +305,16 @@ def expand_glossary(d: Spark, t: str) -> str:
 
 
 def defects(d: Spark, t: str, kind: str) -> str:
-    shapes = {"furniture_leak": r"^\s*[0-9]{1,4}\s*\|\s*\S|\S\s*\|\s*[0-9]{1,4}\s*\z", "run_on_word": r"[a-z]{25,}", "mid_word_split": r"[A-Za-z]-\s+[a-z]"}
-    return d.like(t, shapes[kind])
+    """furniture_leak, run_on_word (TheDataLake) or mid_word_split (Column s)."""
+    end = r"(?:[^A-Za-z0-9_]|\z)"
+    if kind == "mid_word_split":
+        return f"({d.like(t, r'(?:^|[^A-Za-z0-9_])[A-Za-z]{3,} [a-z]{1,2}' + end)} and {d.like(t, '[A-Za-z]{3,} [a-z]' + end)})"
+    return d.like(t, {"furniture_leak": r"^[0-9]{1,4}\s*\|\s*\S|\S\s*\|\s*[0-9]{1,4}\z|\|\s*第[一二三四五六七八九十0-9]+章", "run_on_word": "[a-z]{3}[A-Z][a-z]{3}"}[kind])
 
 
-def caption(d: Spark, t: str, strict: bool = True) -> str:
-    return d.like(t, (r"(?m)^\s*" if strict else r"(?i)") + r"(?:Figure|Fig\.|Table)\s+[0-9]+")
+def caption(d: Spark, t: str, kind: str = "line") -> str:
+    """line: a capital Figure with its number starts a line; figure, table: starts the text, in any case."""
+    return d.like(t, {"line": r"(?m)^[ \t]*Figure[ \t]+[0-9]+[.0-9]*[ \t.:]", "figure": r"(?i)^(?:Figure|Fig\.)\s*[0-9]+", "table": r"(?i)^(?:Table|图)\s*[0-9]+[.:]"}[kind])
 
 
 def residual(d: Spark, t: str, kind: str) -> str:
