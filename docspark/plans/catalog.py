@@ -84,9 +84,9 @@ plan("c18_deferred_bullets")(
 )
 scalar("c19_garbage", lambda d: f"round({t.garbage_ratio(d, T)}, 9)")
 scalar("c20_caption_label", lambda d: t.caption_label(d, T))
-scalar("c21_drop_glyphs", lambda d: t.drop_glyphs(d, T))
+scalar("c21_drop_glyphs", lambda d: f"concat({t.drop_glyphs(d, T)}, '|', {t.drop_markers(d, T)})")
 scalar("c22_escape", lambda d: t.escape(d, "html"), "pages", "page_id")
-scalar("c23_chapter", lambda d: t.chapter(d, f"concat('Chapter ', {T})"))
+scalar("c23_chapter", lambda d: t.chapter(d, f"case when seq % 2 = 0 then concat('Chapter ', {T}) else {T} end"))
 scalar("c25_data_uri", lambda d: t.data_uri(d, "'jpeg'", T))
 scalar("c26_safe_id", lambda d: t.safe_id(d, T))
 scalar("c28_despace_cjk", lambda d: t.despace_cjk(d, T))
@@ -95,24 +95,24 @@ plan("c30_prose_tests")(lambda d: "select doc_id, seq, " + ", ".join(f"{f(d, T)}
 scalar("c31_rare_tokens", lambda d: d.join(t.rare_tokens(d, T), "' '"))
 scalar("c32_prose", lambda d: t.prose(d, T))
 plan("c33_sentences")(lambda d: f"select doc_id, place, s as value from ({d.explode('documents', d.split(d.sub('text', '([.!?])' + chr(92) + 's+', chr(92) + '1' + chr(1)), chr(1)), 's', 'place', 'doc_id')}) where {d.length(t.trim(d, 's'))} >= 30")
-scalar("c34_benchmark_clean", lambda d: t.collapse(d, d.sub(d.sub(T, r"([A-Za-z])-\s+([a-z])", "\\1\\2"), r"^(?:[0-9]{1,3}\s*\|\s*|Chapter\s+[0-9]+[.:]?\s*)")))
+scalar("c34_benchmark_clean", lambda d: t.benchmark_clean(d, T))
 scalar("c35_words", lambda d: t.words(d, "text"), "documents", "doc_id")
 scalar("c36_fuzzy_key", lambda d: t.fuzzy_key(d, T))
 scalar("c37_head_key", lambda d: t.head_key(d, T))
 scalar("c38_char_class", lambda d: t.char_class(d, f"substring({T}, 1, 1)"))
 scalar("c39_atoms", lambda d: d.join(t.atoms(d, T), "'¦'"))
-scalar("c40_mirror", lambda d: t.mirror(d, "concat('https://github.com/', url)"), "pages", "page_id")
-scalar("c42_hardware_error", lambda d: t.hardware_error(d, T))
+scalar("c40_mirror", lambda d: t.mirror(d, f"case when page_id % 2 = 0 then concat('https://modelscope.cn/models/a/', cast(page_id as {d.string}), '/resolve/master/m.bin') else url end"), "pages", "page_id")
+scalar("c42_hardware_error", lambda d: t.hardware_error(d, f"case when seq % 3 = 0 then concat('Vulkan device lost ', {T}) else {T} end"))
 plan("c43_formatting")(
-    lambda d: f"select event_id, case when secs < 60 then concat(cast(secs as {d.string}), ' s') when secs < 3600 then concat(cast({d.div('secs', '60')} as {d.string}), ' min') else concat(cast({d.div('secs', '3600')} as {d.string}), ' h ', cast({d.div('secs % 3600', '60')} as {d.string}), ' min') end as eta, {d.sub('path', '^.*/')} as base_name, {d.like('lower(path)', '[.]pdf' + chr(92) + 'z')} as is_pdf from (select event_id, event_id % 9000 as secs, concat('/in/', cast(user_id as {d.string}), '/', event_type, case when event_id % 2 = 0 then '.PDF' else '.txt' end) as path from events)"
+    lambda d: f"select event_id, case when secs < 60 then concat(cast(secs as {d.string}), ' s') when secs < 3600 then concat(cast(greatest(1, {d.div('secs + 30', '60')}) as {d.string}), ' min') else concat(cast({d.div('secs + 180', '3600')} as {d.string}), '.', cast({d.div('secs + 180', '360')} % 10 as {d.string}), ' h') end as eta, {d.sub('path', '^.*/')} as base_name, {d.like('lower(path)', '[.]pdf' + chr(92) + 'z')} as is_pdf from (select event_id, event_id % 9000 as secs, concat('/in/', cast(user_id as {d.string}), '/', event_type, case when event_id % 2 = 0 then '.PDF' else '.txt' end) as path from events)"
 )
 scalar("c44_sparse_figures", lambda d: "kind", "v_rects", "page, rect_id", lambda d: "kind in (0, 1) and h >= 40 and w >= 60 and rect_id % 20 between 0.5 and 12")
 scalar("c45_small_placements", lambda d: "w * h", "v_rects", "page, rect_id", lambda d: "not (w < 40 or h < 40)")
 scalar("c46_clamp", lambda d: t.clamp100(d, "value * 3 - 50"), "events", "event_id")
-scalar("c47_prompt", lambda d: f"concat('Translate into Chinese:', {d.newline}, text, {d.newline})", "documents", "doc_id")
+scalar("c47_prompt", lambda d: f"concat('System', {d.newline}, {d.newline}, '原文：', {d.newline}, text, {d.newline}, {d.newline}, '译文：')", "documents", "doc_id")
 plan("c48_defects")(lambda d: "select doc_id, seq, " + ", ".join(f"{t.defects(d, T, k)} as {k}" for k in ("furniture_leak", "run_on_word", "mid_word_split")) + " from v_samples")
 scalar("c49_latin_residue", lambda d: d.join(t.latin_residue(d, "left_text", "right_text"), "' '"), "v_pairs", "conv_id, turn")
-plan("c50_captions")(lambda d: f"select doc_id, seq, {t.caption(d, T)} as strict, {t.caption(d, T, False)} as loose from v_samples")
+plan("c50_captions")(lambda d: "select doc_id, seq, " + ", ".join(f"{t.caption(d, T, k)} as {k}_caption" for k in ("line", "figure", "table")) + " from v_samples")
 plan("c51_residual")(lambda d: "select doc_id, seq, " + ", ".join(f"{t.residual(d, T, k)} as {k}" for k in ("han", "latin", "english")) + " from v_samples")
 scalar("j03_glossary", lambda d: t.expand_glossary(d, T))
 
@@ -130,8 +130,10 @@ plan("a18_fixed_corpus")(lambda d: f"select doc_id, block_no, {d.length('source'
 plan("a19_pair_output")(
     lambda d: f"select conv_id, turn, {t.trim(d, d.ext('chunk', '(?m)^SRC:(.*)$', 1))} as src, {t.trim(d, d.ext('chunk', '(?m)^ZH :(.*)$', 1))} as zh from (select conv_id, turn, concat('### ', cast(turn as {d.string}), {d.newline}, 'SRC: ', replace(left_text, {d.newline}, ' '), {d.newline}, 'ZH : ', replace(right_text, {d.newline}, ' ')) as chunk from v_pairs)"
 )
+SAMPLED_PAGES = lambda d: "select distinct doc_id, cast(floor(i * (n - 1) / 11.0) as bigint) + 1 as page from (" + d.explode("(select doc_id, max(page) as n from v_lines group by doc_id)", d.range("0", "11"), "i", "place", "doc_id, n") + ")"
+plan("g05_sampled_pages")(SAMPLED_PAGES)
 plan("a20_scanned_gate")(
-    lambda d: f"select n.doc_id, sum(case when coalesce(p.solid, 0) >= 20 then 1 else 0 end) = 0 as scanned from (select distinct doc_id, cast(floor(i * (n - 1) / 11.0) as bigint) + 1 as page from (select doc_id, max(page) as n from v_lines group by doc_id) a cross join (select value as i from (select {d.at(d.range('0', '11'), 'k')} as value from (select {' union all select '.join(f'{k} as k' for k in range(1, 13))}))) b) n left join (select doc_id, page, sum({t.solid_length(d, 'text')}) as solid from v_lines group by doc_id, page) p on p.doc_id = n.doc_id and p.page = n.page group by n.doc_id"
+    lambda d: f"select n.doc_id, {d.count_if('coalesce(p.solid, 0) >= 20')} = 0 as scanned from ({SAMPLED_PAGES(d)}) n left join (select doc_id, page, sum({t.solid_length(d, 'text')}) as solid from v_lines group by doc_id, page) p on p.doc_id = n.doc_id and p.page = n.page group by n.doc_id"
 )
 plan("a21_text_probe")(lambda d: f"select doc_id, page, count(*) as items, cast(sum({d.length(t.trim(d, 'text'))}) as bigint) as chars, round(avg(cast({d.length(t.trim(d, 'text'))} as double)), 6) as mean_chars from v_lines group by doc_id, page")
 plan("a24_line_scrape")(lambda d: f"select doc_id, page, yr, {d.join(d.ordered('text', 'seq'), chr(39) + ' ' + chr(39))} as line from (select *, cast(round(y / 28.0) as bigint) as yr from v_lines) group by doc_id, page, yr having {d.length(d.join(d.ordered('text', 'seq'), chr(39) + ' ' + chr(39)))} >= 20")
@@ -261,7 +263,7 @@ plan("d14_badges")(
     lambda d: f"select u.doc_id, u.unit_id, case when b.unit_id is null then 'plain' else 'plain badge' end as class from v_units u left join (select doc_id, unit_id from {CHECKED(d)} where not good) b on b.doc_id = u.doc_id and b.unit_id = u.unit_id"
 )
 plan("e15_output_proxies")(
-    lambda d: f"select conv_id, round(avg(case when {HAS_CJK(d, 'right_text')} then 0.0 else 1.0 end), 9) as untranslated, round(avg(cast({d.size(t.latin_residue(d, 'left_text', 'right_text'))} as double)), 9) as residue, round(avg(case when length(left_text) > 0 then cast(length(right_text) as double) / length(left_text) end), 9) as length_ratio from v_pairs group by conv_id"
+    lambda d: f"select conv_id, round(avg(cast(case when {HAS_CJK(d, 'right_text')} then 0 else 1 end as double)), 9) as untranslated, round(avg(cast({d.size(t.latin_residue(d, 'left_text', 'right_text'))} as double)), 9) as residue, round(avg(case when length(left_text) > 0 then cast(length(right_text) as double) / length(left_text) end), 9) as length_ratio from v_pairs group by conv_id"
 )
 plan("e16_throughput")(
     lambda d: f"select event_type, count(*) as n, round(sum(value) / 1000.0, 6) as total, {d.at(d.ordered('ms', 'ms'), d.div('count(*)', '2') + ' + 1')} as p50 from (select event_type, value, cast(round(value * 1000) as bigint) as ms from events) group by event_type"
@@ -305,7 +307,7 @@ KEY = lambda d, source, masked: d.sha256("concat('m1', chr(1), 'v3', chr(1), '0.
 plan("d12_cache_keys")(lambda d: f"select doc_id, unit_id, {KEY(d, 'full_source', 'masked')} as key from v_masked")
 plan("e19_cache_size")(lambda d: f"select count(distinct {KEY(d, 'full_source', 'masked')}) as entries from v_masked")
 plan("b07_cache_shards")(lambda d: f"select substring(key, 1, 2) as shard, count(distinct key) as entries from (select {KEY(d, 'full_source', 'masked')} as key from v_masked) group by substring(key, 1, 2)")
-plan("e14_repeat_rate")(lambda d: f"select count(*) as units, count(*) - count(distinct {t.fuzzy_key(d, 'source')}) as repeats, round(100.0 * (count(*) - count(distinct {t.fuzzy_key(d, 'source')})) / count(*), 1) as percent from v_units")
+plan("e14_repeat_rate")(lambda d: f"select count(*) as units, count(*) - count(distinct {t.fuzzy_key(d, 'source')}) as repeats, round(cast(100 * (count(*) - count(distinct {t.fuzzy_key(d, 'source')})) as double) / count(*), 1) as percent from v_units")
 ASCII = lambda d, x: d.sub(x, "[^ -~]", "?")  # noqa: E731  DuckDB counts edits of bytes
 plan("d17_nearest_prior")(
     lambda d: f"select conv_id, turn, max(round(sim, 6)) as best from (select a.conv_id, a.turn, 1.0 - cast(levenshtein(a.body, b.body) as double) / greatest(length(a.body), length(b.body)) as sim from (select conv_id, turn, {ASCII(d, 'left_text')} as body from v_pairs where length(left_text) > 0) a join (select conv_id, turn, {ASCII(d, 'left_text')} as body from v_pairs where length(left_text) > 0) b on b.conv_id = a.conv_id and b.turn < a.turn and least(length(a.body), length(b.body)) >= 0.5 * greatest(length(a.body), length(b.body))) group by conv_id, turn"
@@ -315,9 +317,9 @@ plan("d16_label_cosine")(
     lambda d: f"select vec_id, round({d.dot('embedding', 'centre')} / sqrt({d.dot('embedding', 'embedding')} * {d.dot('centre', 'centre')}), 6) as cosine from embeddings join (select label as l, embedding as centre from (select label, embedding, cast(row_number() over (partition by label order by vec_id) as bigint) as r from embeddings) where r = 1) on l = label"
 )
 TOKENS = lambda d: d.explode("(select conv_id, turn, 'L' as side, left_text as body from v_pairs union all select conv_id, turn, 'R', right_text from v_pairs)", t.rare_tokens(d, "body"), "token", "place", "conv_id, turn, side")
-plan("e13_document_frequency")(lambda d: f"select token, count(*) as df, round(ln(n / cast(count(*) as double)), 9) as idf from ({TOKENS(d)}) cross join (select 2.0 * count(*) as n from v_pairs) group by token, n")
+plan("e13_document_frequency")(lambda d: f"select token, count(*) as df, round(ln((select cast(2 * count(*) as double) from v_pairs) / count(*)), 9) as idf from ({TOKENS(d)}) group by token")
 plan("d15_token_overlap")(
-    lambda d: f"select l.conv_id, l.turn as left_turn, r.turn as right_turn, count(*) as anchors, round(sum(idf), 6) as weight from ({TOKENS(d)}) l join ({TOKENS(d)}) r on r.conv_id = l.conv_id and r.token = l.token and r.side = 'R' join (select token, ln(n / cast(count(*) as double)) as idf from ({TOKENS(d)}) cross join (select 2.0 * count(*) as n from v_pairs) group by token, n) f on f.token = l.token where l.side = 'L' group by l.conv_id, l.turn, r.turn having sum(idf) >= 2.0"
+    lambda d: f"select l.conv_id, l.turn as left_turn, r.turn as right_turn, count(*) as anchors, round(sum(idf), 6) as weight from ({TOKENS(d)}) l join ({TOKENS(d)}) r on r.conv_id = l.conv_id and r.token = l.token and r.side = 'R' join (select token, ln((select cast(2 * count(*) as double) from v_pairs) / count(*)) as idf from ({TOKENS(d)}) group by token) f on f.token = l.token where l.side = 'L' group by l.conv_id, l.turn, r.turn having sum(idf) >= 2.0"
 )
 plan("h07_token_intersection")(lambda d: f"select conv_id, turn, {d.size(d.filter(t.rare_tokens(d, 'left_text'), 'w', d.has(t.rare_tokens(d, 'right_text'), 'w')))} as shared from v_pairs")
 plan("b14_sft_records")(

@@ -12,7 +12,6 @@ from docspark.functions import text as t
 from docspark.functions.dialect import Spark
 
 PAGE_LINES, PAGE_HEIGHT, VERSION = 44, 792, 4
-WORDS_SHARED = "the of and to in is that for with on as by at from this be are or an it not which have was will can has but all"
 
 
 def raw_lines(d: Spark) -> str:

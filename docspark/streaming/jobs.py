@@ -68,4 +68,4 @@ def latest(batch: DataFrame) -> DataFrame:
 
 def windowed_rates(events: DataFrame, delay: str = "10 minutes", size: str = "5 minutes", slide: str = "1 minute") -> DataFrame:
     """Extra: counts and sums by sliding event-time window and type, behind a watermark."""
-    return events.withWatermark("ts", delay).groupBy(F.window("ts", size, slide), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).groupBy(F.window("ts", size, slide), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
