@@ -79,3 +79,15 @@ def test_files_and_boxes(spark, tmp_path):
     boxes = files.detect(pages, lambda: lambda pixels: [("image", 0.9, 0, 0, 80, 50), ("image", 0.1, 0, 0, 80, 50), ("text", 0.9, 0, 0, 1, 1)] if pixels == b"x" else [])
     assert boxes.count() == 1 and files.sparse_figures(boxes.withColumn("ink", F.lit(3.0))).count() == 1
     assert files.detector_recall(pages.select("doc_id", "page"), boxes).first().recall == 0.5
+
+
+def test_hardware(spark):
+    from docspark.operators import hardware as h
+
+    assert h.cores("12th Gen Intel(R) Core(TM) i5-12600KF", 16, 10, True) == (True, 6) and h.threads("i5-12600KF", 16, 10, measured=True) == 12
+    assert h.cores("Intel i5-12400", 12, 6, True) == (False, 6) and h.threads("AMD Ryzen 7 5800X", 16, 8) == 8 and h.threads("odd", 8, 4, "unknown") == 7 and h.physical_cores(7) == 7
+    assert h.short_name("12th Gen Intel(R) Core(TM) i5-12600KF") == "Intel i5-12600KF" and h.short_name("AMD Ryzen 7 5800X") == "AMD Ryzen 7 5800X"
+    models = spark.createDataFrame([("a",), ("b",), ("c",)], "id string")
+    sizes = spark.createDataFrame([("a", 20 << 20), ("b", 5)], "id string, length long")
+    running = spark.createDataFrame([("c", "downloading")], "id string, status string")
+    assert {r.id: r.status for r in h.catalogue(models, sizes, running).collect()} == {"a": "available", "b": "not-downloaded", "c": "downloading"}
