@@ -7,6 +7,8 @@ byte, taken from prefix sums, so no Python object is made for a word.
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -16,12 +18,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docspark.cluster import ship
 
+#: Rows of an Arrow batch of texts, at most, while a stored table is made.
+BATCH_ROWS = 2000
 #: Bytes of text that are handled at once; a longer text is handled alone.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 _BASE = 0x9E3779B97F4A7C15 | 1
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
@@ -49,6 +54,17 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+def thinned(df: DataFrame, column: str, most: int, salt: int) -> DataFrame:
+    """df, or if it has more than 2 * most rows, those with the smallest hashes of a column, about 2 * most of them.
+
+    So what a later limit(most) gathers does not grow with df. Rows that repeat a value stay or go together.
+    """
+    total = df.count()
+    if total <= 2 * most:
+        return df
+    return df.where(F.pmod(F.xxhash64(F.col(column), F.lit(salt)), F.lit(1 << 30)) < int((1 << 30) * 2 * most / total))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -80,11 +96,22 @@ def append_columns(df: DataFrame, text: str, fields: list[T.StructField], make:
             for part in slices(batch, at):
                 new = f(part, texts_of(part.column(at)))
                 yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(x, kind) for x, kind in zip(new, kinds, strict=True))], [*part.schema.names, *names])
+        give_back()
 
     ship(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Return what a task has freed to the system: Spark keeps its Python workers, and they would keep that memory."""
+    import ctypes
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def texts_of(column: pa.Array) -> list[bytes]:
     if column.null_count:
         column = pc.fill_null(column, "")
@@ -206,7 +233,7 @@ def stored(df: DataFrame, what: str, batch: int | None = None) -> DataFrame:
     path, key = scratch(df.sparkSession, what), "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = df.sparkSession.conf.get(key)
     try:
-        df.sparkSession.conf.set(key, batch or before)
+        df.sparkSession.conf.set(key, batch or min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS)
         df.write.parquet(path)
     finally:
         df.sparkSession.conf.set(key, before)

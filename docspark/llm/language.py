@@ -121,7 +121,7 @@ def train(docs: DataFrame, most: int = TRAIN_ROWS) -> Profiles:
     """
     spark = docs.sparkSession
     labelled = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out("doc_id")).select("doc_id", "lang", "text")
-    total = docs.count()
+    total = docs.count()  # of all rows, which Parquet's footers tell
     if total > most:
         labelled = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) < int((1 << 30) * most / total))
 

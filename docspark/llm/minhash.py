@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docspark.cluster import ship
-from docspark.llm.common import CHUNK_BYTES, Words, append_columns, fresh, mix64, stored, texts_of, words_of
+from docspark.llm.common import CHUNK_BYTES, Words, append_columns, fresh, give_back, mix64, stored, texts_of, words_of
 from docspark.llm.components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -28,8 +28,8 @@ BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
 #: A pair is verified if at least this share of registers agrees: over four standard deviations below THRESHOLD.
 SCREEN = 0.64
-#: Bytes of signatures or shingles that are compared with each other at once.
-REST_BYTES, ALL_BYTES = 2 << 20, 1 << 18
+#: Bytes of signatures or shingles that are compared with each other at once, and blocks that one task compares with one block.
+REST_BYTES, ALL_BYTES, LOT = 2 << 20, 1 << 18, 64
 #: Rows of an Arrow batch: of pairs of blocks, and of pairs of texts.
 PAIR_ROWS, TEXT_ROWS = 8, 1000
 #: Tables of nodes with up to this many rows, of 24 bytes each, are broadcast; larger ones are joined by shuffle.
@@ -141,6 +141,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     keep += [max(similarities(own(t), own(n + t))) >= THRESHOLD - 1e-9 for t in range(n)]
                     at, room = i + 1, 0
             yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
+        give_back()
 
     ship(pairs.sparkSession)
     return both.mapInArrow(verify, both.select("u", "v").schema)
@@ -158,7 +159,8 @@ def _block_pairs(members: DataFrame) -> DataFrame:
     """For members(band, node, root, main, sketch, ...) rows (band, some, all), lists of members of bounded bytes.
 
     Every member outside its bucket's main component meets every member of the bucket, itself too. The former are in
-    blocks of REST_BYTES, the latter in blocks of ALL_BYTES that are dealt out once for each block of the former.
+    blocks of REST_BYTES, the latter in blocks of ALL_BYTES that are dealt out once for each block of the former, in
+    lots of LOT blocks, so that a large bucket is many small tasks' work.
     """
     payload = [c for c in members.columns if c not in ("band", "node", "root", "main")]
     size = sum((F.octet_length(c) for c in payload), F.lit(64))
@@ -167,9 +169,12 @@ def _block_pairs(members: DataFrame) -> DataFrame:
     members = members.join(stored(blocks, "blocks"), "band")
     member = F.struct("node", "root", *payload)
     dealt = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    every = members.groupBy("band", dealt("alls").alias("block")).agg(F.collect_list(member).alias("all"), F.first("rests").alias("n"))
-    rest = members.where(away).groupBy("band", dealt("rests").alias("b")).agg(F.collect_list(member).alias("some"))
-    return every.withColumn("b", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).join(rest, ["band", "b"]).select("band", "some", "all")
+    lots = F.ceil(F.first("alls") / LOT).cast("int").alias("lots")
+    every = members.groupBy("band", dealt("alls").alias("block")).agg(F.collect_list(member).alias("all"), F.first("rests").alias("n"), lots)
+    every = every.withColumn("lot", F.pmod("block", "lots")).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    rest = members.where(away).groupBy("band", dealt("rests").alias("b")).agg(F.collect_list(member).alias("some"), lots)
+    rest = rest.withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1))).drop("lots")
+    return every.join(rest, ["band", "b", "lot"]).select("band", "some", "all")
 
 
 def _sides(batch: pa.RecordBatch, row: int):
@@ -203,6 +208,7 @@ def _suspects(batches):
             for x, i in zip(both, _near(both, roots, batch.column(0)[row].as_py()), strict=True):
                 at = pa.array(np.unique(i), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.repeat(batch.column(0)[row], len(at)), x.field("node").take(at)], ["band", "node"])
+    give_back()
 
 
 def common(a: list[np.ndarray], b: list[np.ndarray], columns: int = 1 << 13) -> np.ndarray:
@@ -261,6 +267,7 @@ def _exact(batches):
                     keep.append(n)
             u, v = both[0].field("node").take(pa.array(i[keep], pa.int64())), both[1].field("node").take(pa.array(j[keep], pa.int64()))
             yield pa.RecordBatch.from_arrays([u, v], ["u", "v"])
+    give_back()
 
 
 def _in_blocks(buckets: DataFrame, sketches: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame:
@@ -296,24 +303,19 @@ def _in_blocks(buckets: DataFrame, sketches: DataFrame, roots: DataFrame, texts:
     return _block_pairs(full).mapInArrow(_exact, T.StructType([T.StructField("u", node), T.StructField("v", node)]))
 
 
-def classes(docs: DataFrame) -> tuple[DataFrame, str]:
-    """docs with the smallest doc_id of each row's class of near-duplicates, and that column's name (class_id).
-
-    Texts are linked if the Jaccard similarity of their shingles, as sets or weighted by counts (probability Jaccard),
-    is 0.8 or more; a class is a connected component. Words are runs of ASCII letters (case aside), digits and
-    characters beyond ASCII. Equal texts are one class, whatever they hold, but for null texts and texts without a
-    word: each of those rows is alone and keeps its own doc_id as class. Null ids count as absent: a class has the
-    smallest id that is not null, else null. An empty table gives an empty table.
-    """
+def _classes_of_texts(docs: DataFrame) -> DataFrame:
+    """key, class_of_key and repeats of the texts that occur twice or have a near-duplicate: MD5 of the text, smallest
+    doc_id of the class, and rows of the class that have that doc_id. Stored."""
     keyed = docs.select("doc_id", "text").where(F.col("text").rlike("[0-9A-Za-z\\x{80}-\\x{10FFFF}]")).select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5("text")).alias("key"), "text")
-    counted = stored(keyed.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.count("doc_id").alias("ids")), "nodes")
+    counted = keyed.groupBy("key", "doc_id").agg(F.count("*").alias("n")).groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.sum("n").alias("copies"), F.count("doc_id").alias("ids"), F.min_by("n", "doc_id").alias("repeats"))
+    counted = stored(counted, "nodes")
     identified = keyed.where("doc_id is not null")
     nodes = counted.where("ids > 0")
     raw = _sketch(identified.select(F.struct("doc_id", "key").alias("node"), "text"))
     # of equal texts, the one with the smallest id stands for all
     sketches = stored(raw.groupBy("node.key").agg(F.min(F.struct("node", "bands", "sketch")).alias("x")).select("x.*"), "sketches")
     banded = sketches.select("node", F.explode("bands").alias("band"))
-    sizes = banded.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
+    sizes = stored(banded.groupBy("band").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
     shared = stored(banded.join(sizes, "band"), "buckets")
     weight = stored(shared.groupBy("node").agg(F.sum("size").alias("weight")), "weights")
     leaders = stored(shared.join(weight, "node").groupBy("band").agg(F.max(F.struct("weight", "node")).alias("x")).select("band", F.col("x.node").alias("leader")), "leaders")
@@ -327,13 +329,33 @@ def classes(docs: DataFrame) -> tuple[DataFrame, str]:
     large = led.where("size > 2")
     more = stored(_in_blocks(large, sketches.select("node", "sketch"), centres, identified), "more", PAIR_ROWS)
     roots = stored(components(links.union(more)), "roots")
-    named = nodes.where("copies > 1").select("key", "doc_id").join(roots.select(F.col("node.key").alias("key")), "key", "left_anti").union(roots.select("node.key", "root.doc_id"))
-    named = stored(named, "classes").withColumnsRenamed({"key": "class_key", "doc_id": "class_of_key"})
-    name, key = fresh(docs, "class_id"), fresh(docs, "text_key")
-    out = docs.withColumn(key, F.unhex(F.md5("text")))
-    class_key, class_of_key = fresh(out, "class_key"), fresh(out, "class_of_key")
-    named = named.toDF(class_key, class_of_key)
-    return out.join(named, F.col(key) == F.col(class_key), "left").withColumn(name, F.coalesce(class_of_key, F.col("doc_id").cast("long"))).drop(key, class_key, class_of_key), name
+    linked = roots.select(F.col("node.key").alias("key"), F.col("root.doc_id").alias("root"))
+    named = stored(nodes.join(linked, "key", "left").where("copies > 1 or root is not null").select("key", F.coalesce("root", "doc_id").alias("class_of_key"), "doc_id", "repeats"), "classes")
+    # classes whose smallest id is that of several rows
+    doubled = named.where("doc_id = class_of_key").groupBy("class_of_key").agg(F.sum("repeats").alias("n")).where("n > 1")
+    return stored(named.join(doubled, "class_of_key", "left").select("key", "class_of_key", F.coalesce("n", F.lit(1)).alias("repeats")), "classes")
+
+
+def _with_classes(docs: DataFrame, named: DataFrame) -> tuple[DataFrame, str, str]:
+    """docs with class_of_key and repeats of each row's text, null for texts that are alone; texts move only if named is large."""
+    key, own, of, repeats = (fresh(docs, x) for x in ("text_key", "class_key", "class_of_key", "repeats"))
+    renamed = named.toDF(own, of, repeats)
+    renamed = F.broadcast(renamed) if named.count() <= BROADCAST_ROWS else renamed.hint("merge")
+    return docs.withColumn(key, F.unhex(F.md5("text"))).join(renamed, F.col(key) == F.col(own), "left").drop(key, own), of, repeats
+
+
+def classes(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with the smallest doc_id of each row's class of near-duplicates, and that column's name (class_id).
+
+    Texts are linked if the Jaccard similarity of their shingles, as sets or weighted by counts (probability Jaccard),
+    is 0.8 or more; a class is a connected component. Words are runs of ASCII letters (case aside), digits and
+    characters beyond ASCII. Equal texts are one class, whatever they hold, but for null texts and texts without a
+    word: each of those rows is alone and keeps its own doc_id as class. Null ids count as absent: a class has the
+    smallest id that is not null, else null. An empty table gives an empty table.
+    """
+    out, of, repeats = _with_classes(docs, _classes_of_texts(docs))
+    name = fresh(docs, "class_id")
+    return out.withColumn(name, F.coalesce(of, F.col("doc_id").cast("long"))).drop(of, repeats), name
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -341,6 +363,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Rows alone in their class stay as they are; rows without a doc_id stay unless their class has a row with one.
     """
-    out, name = classes(docs)
-    first = out.where((F.col("doc_id") == F.col(name)) | F.col(name).isNull())
-    return first.dropDuplicates(["doc_id", name, "text"]).select(*docs.columns)
+    named = _classes_of_texts(docs)
+    out, of, repeats = _with_classes(docs, named)
+    first = out.where(F.col(of).isNull() | (F.col("doc_id") == F.col(of)))
+    if named.where("repeats > 1").isEmpty():
+        return first.select(*docs.columns)
+    once = first.where(F.coalesce(F.col(repeats), F.lit(1)) == 1)
+    return once.union(first.where(F.col(repeats) > 1).dropDuplicates(["doc_id", of])).select(*docs.columns)

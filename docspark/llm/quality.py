@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docspark.llm.common import fresh
+from docspark.llm.common import fresh, thinned
 
 BUCKETS, ENDING = 1 << 14, 3
 #: Trusted documents that the target is counted over, at most: those with the smallest hashes of their id.
@@ -88,7 +88,7 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, text: str = "text", most: in
     The target is counted over the documents whose doc_id is among at most `most` ids of trusted; the corpus over all.
     Without any trusted document all ratios are 0.
     """
-    ids = trusted.select(F.col("doc_id").alias("trusted_id")).where("trusted_id is not null").distinct().orderBy(F.xxhash64("trusted_id"), "trusted_id").limit(most)
+    ids = thinned(trusted.select(F.col("doc_id").alias("trusted_id")).where("trusted_id is not null"), "trusted_id", most, 5).distinct().orderBy(F.xxhash64("trusted_id", F.lit(5)), "trusted_id").limit(most)
     rows = docs.select(F.col("doc_id").alias("id"), words(F.col(text)).alias("w")).join(F.broadcast(ids), F.col("id") == F.col("trusted_id"), "left")
     grams = rows.select(F.col("trusted_id").isNotNull().cast("long").alias("t"), F.explode(let(endings(F.col("w")), buckets)).alias("bucket"))
     raw, target = [0.5] * BUCKETS, [0.5] * BUCKETS

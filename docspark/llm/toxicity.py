@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docspark.llm.common import Words, append_columns, fresh, mix64, words_of
+from docspark.llm.common import Words, append_columns, fresh, mix64, thinned, words_of
 
 BITS = 20
 #: Labelled rows that are learned from, at most: those with the smallest hashes of their id.
@@ -68,12 +68,20 @@ class Model:
 
 
 def fit(rows: list[tuple[bytes, int]], epochs: int = EPOCHS) -> Model:
-    """A model of (text, 0 or 1) rows, taken in their order. With no rows, or one class only, it is that class's rate."""
+    """A model of (text, 0 or 1) rows, taken in their order. With no rows, or one class only, it is that class's rate.
+
+    A gradient is at most 1, so a bucket of so few rows that its gradients cannot sum up to L1 would keep the weight 0;
+    such buckets are left out from the start.
+    """
     z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
+    seen = np.zeros(1 << BITS, dtype=np.int32)
+    for text, _ in rows:
+        seen[np.unique(features(words_of([text]))[0])] += 1
+    useful = seen * epochs >= L1
     examples = []
     for text, label in rows:
         bucket, _ = features(words_of([text]))
-        examples.append((np.append(np.unique(bucket), 1 << BITS), label))
+        examples.append((np.append(np.unique(bucket[useful[bucket]]), 1 << BITS).astype(np.int32), label))
     weight = lambda i: np.where(np.abs(z[i]) <= L1 * (i < 1 << BITS), 0, -(z[i] - np.sign(z[i]) * L1 * (i < 1 << BITS)) / ((BETA + np.sqrt(n[i])) / ALPHA + L2))
     for _ in range(epochs):
         for i, label in examples:
@@ -93,12 +101,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) ->
     A row is labelled if labels has its doc_id with toxic 0 or 1; the larger label of a repeated id counts. Null texts
     and ids are left out. Of documents that repeat an id, the one with the smallest text counts.
     """
-    spread = lambda c: F.xxhash64(F.col(c), F.lit(8))
-    some = labels.where(F.col("toxic").isin(0, 1) & ~held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
+    order = lambda: (F.xxhash64("doc_id", F.lit(8)), "doc_id")
+    some = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out("doc_id")).select("doc_id", "toxic")
+    some = thinned(some, "doc_id", 2 * most, 8).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
     # twice as many as are wanted, since a label may have no document
-    some = some.orderBy(spread("doc_id"), "doc_id").limit(2 * most)
+    some = some.orderBy(*order()).limit(2 * most)
     both = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(some), "doc_id")  # 2 * most ids
-    return both.groupBy("doc_id").agg(F.min(F.struct("text", "label")).alias("x")).orderBy(spread("doc_id"), "doc_id").limit(most).select("doc_id", "x.text", "x.label")
+    return both.groupBy("doc_id").agg(F.min(F.struct("text", "label")).alias("x")).orderBy(*order()).limit(most).select("doc_id", "x.text", "x.label")
 
 
 def held_out(doc_id: str):
