@@ -17,14 +17,14 @@ def components(links: DataFrame) -> DataFrame:
     Each round is two joins whose hot keys adaptive execution can split, and a table in the shared folder.
     """
     edges = stored(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-    before = None
     for _ in range(ROUNDS):
-        now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")).first()
-        if now == before:
+        # done if each node points to one smaller node that points to none
+        ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("root")).union(edges.select(F.col("v"), F.lit(0), F.lit(1)))
+        if ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("root").alias("root")).where("out > 1 or (out = 1 and root = 1)").isEmpty():
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        before = now
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"))
+        # stored, so that the join below can split a hub's rows or, if it is small, needs no shuffle
+        least = stored(both.groupBy("u").agg(F.min("v").alias("m")), "least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         edges = stored(large.join(small, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(small.select("u", F.col("m").alias("v"))).distinct(), "links")

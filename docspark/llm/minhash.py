@@ -147,6 +147,11 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(verify, both.select("u", "v").schema)
 
 
+def _small(table: DataFrame) -> DataFrame:
+    """A stored table, to be broadcast if it is counted to have no more than BROADCAST_ROWS rows."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def _texts(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """(node, text) of the wanted nodes, once each. Up to BROADCAST_ROWS nodes are sent to the texts; else both are dealt by id."""
     needed = stored(nodes.distinct().select("node.doc_id", "node.key"), "needed")
@@ -166,7 +171,7 @@ def _block_pairs(members: DataFrame) -> DataFrame:
     size = sum((F.octet_length(c) for c in payload), F.lit(64))
     away = F.col("root") != F.col("main")
     blocks = members.groupBy("band").agg(F.ceil(F.sum(size) / ALL_BYTES).cast("int").alias("alls"), F.ceil(F.sum(F.when(away, size)) / REST_BYTES).cast("int").alias("rests")).where("rests > 0")
-    members = members.join(stored(blocks, "blocks"), "band")
+    members = members.join(_small(stored(blocks, "blocks")), "band")
     member = F.struct("node", "root", *payload)
     dealt = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     lots = F.ceil(F.first("alls") / LOT).cast("int").alias("lots")
@@ -282,7 +287,7 @@ def _in_blocks(buckets: DataFrame, sketches: DataFrame, roots: DataFrame, texts:
     named = buckets.join(roots.withColumnRenamed("root", "known"), "node", "left").withColumn("root", F.coalesce("known", "node"))
     lead = named.where("node = leader").select("band", F.col("root").alias("main"))
     # leader pairs are verified already
-    members = stored(named.join(stored(lead, "main"), "band").where("node <> leader or root <> main").select("band", "node", "root", "main"), "members")
+    members = stored(named.join(_small(stored(lead, "main")), "band").where("node <> leader or root <> main").select("band", "node", "root", "main"), "members")
     node = buckets.schema["node"].dataType
     seen = _block_pairs(members.join(sketches, "node")).mapInArrow(_suspects, T.StructType([T.StructField("band", T.LongType()), T.StructField("node", node)]))
     seen = stored(seen, "suspects", PAIR_ROWS).distinct()
@@ -316,10 +321,10 @@ def _classes_of_texts(docs: DataFrame) -> DataFrame:
     sketches = stored(raw.groupBy("node.key").agg(F.min(F.struct("node", "bands", "sketch")).alias("x")).select("x.*"), "sketches")
     banded = sketches.select("node", F.explode("bands").alias("band"))
     sizes = stored(banded.groupBy("band").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
-    shared = stored(banded.join(sizes, "band"), "buckets")
+    shared = stored(banded.join(_small(sizes), "band"), "buckets")
     weight = stored(shared.groupBy("node").agg(F.sum("size").alias("weight")), "weights")
-    leaders = stored(shared.join(weight, "node").groupBy("band").agg(F.max(F.struct("weight", "node")).alias("x")).select("band", F.col("x.node").alias("leader")), "leaders")
-    led = stored(shared.join(leaders, "band"), "led")
+    leaders = stored(shared.join(_small(weight), "node").groupBy("band").agg(F.max(F.struct("weight", "node")).alias("x")).select("band", F.col("x.node").alias("leader")), "leaders")
+    led = stored(shared.join(_small(leaders), "band"), "led")
     pairs = stored(led.where("node <> leader").select(F.greatest("node", "leader").alias("u"), F.least("node", "leader").alias("v")).distinct(), "pairs")
     links = stored(_verified(pairs, identified), "verified", TEXT_ROWS)
     # nodes that are linked to the same centre are in one component; all that this spares is comparisons
