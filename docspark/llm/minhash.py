@@ -1,9 +1,11 @@
-"""Near-duplicates by ProbMinHash over weighted shingles of five words.
+"""Near-duplicates by ProbMinHash over shingles of five words, as sets and weighted by their counts.
 
 1. Equal texts are one node, named by their smallest doc_id and the text's MD5.
 2. Each node gets a signature: every distinct shingle, weighted by its count, is a Poisson process of that rate whose
    arrivals fall on random registers; a register keeps its earliest arrival. A process ends once its time passes the
    latest register, so most shingles arrive once or twice. Two registers agree with the probability Jaccard similarity.
+   A text in which a shingle repeats gets a second signature, with each shingle's weight 1, whose registers agree with
+   the Jaccard similarity of the sets; for other texts the two are the same.
 3. Nodes with an equal band of registers share a bucket. The bucket's leader is the member that shares most buckets with
    others, so a group of copies is compared with its centre, not pair by pair. Leader pairs are verified exactly.
 4. Members of a bucket that are still in different components are compared in blocks of bounded size, by signature and
@@ -26,6 +28,8 @@ from docspark.llm.components import components
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
+#: Bytes of a sketch of one signature.
+SKETCH_BYTES = 2 * REGISTERS + 8 * BANDS
 #: A pair is verified if at least this share of registers agrees: over four standard deviations below THRESHOLD.
 SCREEN = 0.64
 #: Bytes of signatures or shingles that are compared with each other at once, and blocks that one task compares with one block.
@@ -95,25 +99,41 @@ def similarities(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarr
 
 
 def _sketch(nodes_texts: DataFrame) -> DataFrame:
-    """(node, text) -> (node, bands, sketch). A sketch is 16 bits of each register, then the bands."""
+    """(node, text) -> (node, bands, sketch). A sketch is 16 bits of each register, then the bands.
+
+    Where a shingle repeats, bands are those of both signatures, once each, and the sketch of the sets follows that of
+    the weighted shingles.
+    """
     fields = [T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())]
 
     def make():
         salt = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
+        def banded(who):
+            band = np.zeros((len(who), BANDS), dtype=np.uint64) + salt
+            for k in range(ROWS):
+                band = mix64(band * np.uint64(0xD6E8FEB86659FD93) + who[:, k::ROWS])
+            return band, mix64(who).astype(np.uint16)
+
         def sketch(_, texts):
             bands, sketches = [], []
             for lo in range(0, len(texts), 1 << _DOC_BITS):
                 part = texts[lo : lo + (1 << _DOC_BITS)]
                 w = words_of(part)
-                who = signatures(len(part), *shingles(w))
-                band = np.zeros((len(part), BANDS), dtype=np.uint64) + salt
-                for k in range(ROWS):
-                    band = mix64(band * np.uint64(0xD6E8FEB86659FD93) + who[:, k::ROWS])
+                owner, h, count = shingles(w)
+                band, short = banded(signatures(len(part), owner, h, count))
                 some = w.counts > 0
-                short = mix64(who).astype(np.uint16)
-                bands += [x.tolist() if k else None for x, k in zip(band.view(np.int64), some, strict=True)]
-                sketches += [x.tobytes() + b.tobytes() if k else None for x, b, k in zip(short, band, some, strict=True)]
+                own = [x.tolist() if k else None for x, k in zip(band.view(np.int64), some, strict=True)]
+                sketched = [x.tobytes() + b.tobytes() if k else None for x, b, k in zip(short, band, some, strict=True)]
+                several = np.unique(owner[count > 1])
+                if len(several):
+                    held = np.isin(owner, several)
+                    band, short = banded(signatures(len(several), np.searchsorted(several, owner[held]), h[held], np.ones(int(held.sum()))))
+                    for t, x, b in zip(several.tolist(), short, band, strict=True):
+                        own[t] = list(dict.fromkeys(own[t] + b.view(np.int64).tolist()))
+                        sketched[t] += x.tobytes() + b.tobytes()
+                bands += own
+                sketches += sketched
             return [bands, sketches]
 
         return sketch
@@ -191,17 +211,33 @@ def _sides(batch: pa.RecordBatch, row: int):
 
 
 def _near(both: list, roots: list[np.ndarray], band: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of members in different components whose signatures agree on SCREEN of the registers or more.
+    """Pairs of members in different components whose signatures, weighted or of the sets, agree on SCREEN of the
+    registers or more.
 
-    A pair that shares several bands is a pair in the first of them only.
+    A pair that shares several bands is a pair in the smallest of them only, whichever of the two comes first.
     """
-    raw = [np.frombuffer(b"".join(x.field("sketch").to_pylist()), dtype=np.uint8).reshape(len(x), -1) for x in both]
-    a, b = (np.ascontiguousarray(x[:, : 2 * REGISTERS]).view(np.uint16) for x in raw)
-    bands_a, bands_b = (np.ascontiguousarray(x[:, 2 * REGISTERS :]).view(np.int64) for x in raw)
+    sides = []
+    for x in both:
+        # a lone sketch is that of the sets too
+        raw = np.frombuffer(b"".join(k if len(k) > SKETCH_BYTES else k + k for k in x.field("sketch").to_pylist()), dtype=np.uint8).reshape(len(x), 2, SKETCH_BYTES)
+        sides.append((np.ascontiguousarray(raw[:, :, : 2 * REGISTERS]).view(np.uint16), np.ascontiguousarray(raw[:, :, 2 * REGISTERS :]).view(np.int64)))
+    (a, bands_a), (b, bands_b) = sides
+    weighted, sets = (np.ascontiguousarray(b[:, k]) for k in (0, 1))
+    repeats_a, repeats_b = ((x[:, 0] != x[:, 1]).any(axis=1) for x in (a, b))
+    several = np.flatnonzero(repeats_b)
     found = []
-    for row, own, root in zip(a, bands_a, roots[0], strict=True):
-        near = np.flatnonzero((np.count_nonzero(b == row, axis=1) >= SCREEN * REGISTERS) & (roots[1] != root))
-        found.append(near[own[(bands_b[near] == own).argmax(axis=1)] == band] if len(near) else near)
+    for row, own, root, repeats in zip(a, bands_a, roots[0], repeats_a, strict=True):
+        agree = np.count_nonzero(weighted == row[0], axis=1)
+        if repeats:
+            agree = np.maximum(agree, np.count_nonzero(sets == row[1], axis=1))
+        elif len(several):
+            agree[several] = np.maximum(agree[several], np.count_nonzero(sets[several] == row[1], axis=1))
+        near = np.flatnonzero((agree >= SCREEN * REGISTERS) & (roots[1] != root))
+        if len(near):
+            other = bands_b[near]
+            shared = (other == own) | (other[:, ::-1] == own)
+            near = near[np.where(shared, own, np.iinfo(np.int64).max).min(axis=(1, 2)) == band]
+        found.append(near)
     return np.repeat(np.arange(len(a)), [len(x) for x in found]), np.concatenate(found) if found else np.zeros(0, dtype=np.int64)
 
 
