@@ -25,6 +25,7 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex", "learned")
 #: What the network judges: long runs of token characters with a digit and a letter in them.
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
+LEAST = 16
 BEFORE, INSIDE, AFTER = 20, 44, 8
 LENGTH = BEFORE + INSIDE + AFTER
 SYMBOLS = " abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-.:\"'@,;()[]{}<>|\n"
@@ -178,14 +179,19 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Runs for the network to judge that touch no span of the rules."""
+    """Runs for the network to judge, or what the rules' spans leave of them, in pieces as long as a run must be."""
     out, k, reach = [], 0, 0
+    judge = lambda a, b: b - a >= LEAST and any(c.isdigit() for c in text[a:b]) and any(c.isalpha() for c in text[a:b])
     for m in CANDIDATE.finditer(text):
+        at = max(m.start(), reach)
         while k < len(spans) and spans[k][0] < m.end():
+            if judge(at, spans[k][0]):
+                out.append((at, spans[k][0]))
             reach = max(reach, spans[k][2])
+            at = max(at, reach)
             k += 1
-        if reach <= m.start() and any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0]):
-            out.append((m.start(), m.end()))
+        if judge(at, m.end()):
+            out.append((at, m.end()))
     return out
 
 
