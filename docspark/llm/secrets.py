@@ -57,6 +57,7 @@ def labelled_findings(n: int = FINDINGS, seed: int = SEED) -> list[Finding]:
     plain = [
         lambda: text(digits, 16, 19), lambda: word() + "-" + word() + "-" + text(digits, 1, 4) + "-" + word() + word(), lambda: word().upper() + "_" + text(digits, 8, 8) + "_" + text(digits, 6, 6),
         lambda: (word() + word() + word() + word() + word())[:30] + text(digits, 1, 3), lambda: "/".join([word(), word(), text(digits, 4, 4), text(digits, 2, 2), word(), word()]), lambda: r.choice(full) * r.randint(16, 40) + r.choice(digits),
+        lambda: "/".join(word() for _ in range(r.randint(5, 14))) + "/" + text(digits, 1, 4) + "/" + "/".join(word() for _ in range(r.randint(2, 8))),
         lambda: "-" * r.randint(14, 30) + text(digits, 1, 2), lambda: "=" * r.randint(14, 30) + text(digits, 1, 2) + word(), lambda: "_".join(word() for _ in range(5)) + text(digits, 1, 2), lambda: (word() + text(digits, 1, 1)) * r.randint(4, 8),
     ]
     named = ["key", "auth", "bearer", "credential", "private_key", "access", "client", "pwd", "Authorization"]
@@ -78,7 +79,8 @@ _CODE = {c: i + 1 for i, c in enumerate(SYMBOLS)}
 
 
 def encode(findings: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-    """Symbol of each place, and whether it is inside the candidate. Of a long candidate, its head and tail are read."""
+    """Symbol of each place, and whether it is inside the candidate. Of a long candidate, its head and tail are read:
+    scores are of windows() of it, which are never long."""
     codes, inside = np.zeros((len(findings), LENGTH), dtype=np.int64), np.zeros((len(findings), LENGTH), dtype=np.float32)
     for i, (before, core, after, *_) in enumerate(findings):
         if len(core) > INSIDE:
@@ -91,6 +93,21 @@ def encode(findings: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
     return codes, inside
 
 
+def windows(findings: list[tuple]) -> tuple[list[tuple], np.ndarray]:
+    """Findings whose candidates have INSIDE characters at most, and the place of the finding that each is part of.
+
+    Of a long candidate these are overlapping windows, half a window apart, the last one at its end.
+    """
+    out, owner = [], []
+    for i, (before, core, after, *_) in enumerate(findings):
+        last = max(0, len(core) - INSIDE)
+        for at in [*range(0, last, INSIDE // 2), last]:
+            end = at + INSIDE
+            out.append(((before + core[max(0, at - BEFORE) : at])[-BEFORE:], core[at:end], (core[end : end + AFTER] + after)[:AFTER]))
+            owner.append(i)
+    return out, np.array(owner, dtype=np.int64)
+
+
 @dataclass
 class Network:
     """Embedding, one convolution, maximum and mean over the candidate, and a logistic unit; then a Platt scale."""
@@ -113,11 +130,26 @@ class Network:
         pooled = np.concatenate([np.take_along_axis(h, top[:, None, :], 1)[:, 0], (h * share).sum(axis=1)], axis=1)
         return cols, h, share, top, pooled, pooled @ self.out + self.bias
 
+    def margins(self, findings: list[tuple]) -> np.ndarray:
+        """The highest margin of each finding's windows. So many findings are cut into windows at once that memory is bounded."""
+        out = np.full(len(findings), -np.inf)
+        lo = 0
+        while lo < len(findings):
+            hi, size = lo, 0
+            while hi < len(findings) and (hi == lo or size + len(findings[hi][1]) <= 512 * INSIDE):
+                size += len(findings[hi][1])
+                hi += 1
+            parts, owner = windows(findings[lo:hi])
+            for i in range(0, len(parts), 512):
+                np.maximum.at(out, lo + owner[i : i + 512], self.layers(*encode(parts[i : i + 512]))[-1])
+            lo = hi
+        return out
+
     def score(self, findings: list[tuple]) -> np.ndarray:
-        """Calibrated probabilities."""
+        """Calibrated probabilities; of a long candidate, that of its window with the highest."""
         if not findings:
             return np.zeros(0)
-        margin = np.concatenate([self.layers(*encode(findings[i : i + 512]))[-1] for i in range(0, len(findings), 512)])
+        margin = self.margins(findings)
         return 1 / (1 + np.exp(-np.clip(self.scale[0] * margin + self.scale[1], -35, 35)))
 
 
@@ -127,16 +159,19 @@ def train(findings: list[Finding], epochs: int = 5, seed: int = SEED, recall: fl
     order = rng.permutation(len(findings))
     cut = len(findings) * 4 // 5
     label = np.array([f[3] for f in findings], dtype=np.float32)
-    codes, inside = encode(findings)
+    # a label holds for each window, since made candidates are secrets, or plain, from end to end
+    parts, owner = windows([findings[i] for i in order[:cut]])
+    learned = label[order[:cut]][owner]
+    codes, inside = encode(parts)
     normal = lambda *shape: (rng.standard_normal(shape) * (2 / shape[0]) ** 0.5).astype(np.float32)
     net = Network(normal(len(SYMBOLS) + 1, DIMS) * 3, normal((DIMS + 1) * WIDTH, FILTERS), np.zeros(FILTERS, dtype=np.float32), normal(2 * FILTERS), 0.0)
     names = ("embed", "kernel", "shift", "out")
     mean, square, step = {k: 0.0 for k in (*names, "bias")}, {k: 0.0 for k in (*names, "bias")}, 0
     for _ in range(epochs):
-        for lo in range(0, cut, 64):
-            i = rng.permutation(order[:cut])[:64] if lo else order[:64]
+        for lo in range(0, len(parts), 64):
+            i = rng.permutation(len(parts))[:64] if lo else np.arange(min(64, len(parts)))
             cols, h, share, top, pooled, margin = net.layers(codes[i], inside[i])
-            d = (1 / (1 + np.exp(-np.clip(margin, -35, 35))) - label[i]) / len(i)
+            d = (1 / (1 + np.exp(-np.clip(margin, -35, 35))) - learned[i]) / len(i)
             grads = {"out": pooled.T @ d, "bias": d.sum()}
             dh = d[:, None, None] * net.out[None, None, FILTERS:] * share
             peak = np.zeros_like(h)
@@ -155,7 +190,7 @@ def train(findings: list[Finding], epochs: int = 5, seed: int = SEED, recall: fl
                 square[name] = 0.999 * square[name] + 0.001 * g * g
                 setattr(net, name, getattr(net, name) - 0.01 * (mean[name] / (1 - 0.9**step)) / (np.sqrt(square[name] / (1 - 0.999**step)) + 1e-8))
     rest = order[cut:]
-    margin, y = net.layers(codes[rest], inside[rest])[-1].astype(np.float64), label[rest]
+    margin, y = net.margins([findings[i] for i in rest]), label[rest]
     a, b = 1.0, 0.0
     soft = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
     for _ in range(50):
