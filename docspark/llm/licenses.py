@@ -22,8 +22,11 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 #: Phrases of the contract and their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-#: Any of these sets of strings, all found in the lower-cased text, opens the gate.
-GATES = [["licen"], ["cc", "by"], ["spdx"], ["rights", "reserved"], ["public", "domain"], ["copyleft"], ["wtfpl"], ["gpl"], ["creative", "commons"], ["apache"], ["copyright"]]
+#: Any of these sets of strings, all found in the lower-cased text, opens the gate. Whatever a rule matches has one of them.
+GATES = [
+    ["licen"], ["cc", "by"], ["spdx"], ["rights", "reserved"], ["public", "domain"], ["copyleft"], ["wtfpl"], ["gpl"], ["creative", "commons"], ["apache"], ["copyright"],
+    ["hereby", "granted"], ["redistribution", "binary"], ["permission", "fee"], ["redistribute", "modify"], ["proprietary"], ["bsd"], ["cc0"], ["mit", "attribution"],
+]
 
 _V = r"(?: version| v)?"
 #: label, keyword, the name as words, and its short identifier as words. Of names that start alike, the longer comes first.
