@@ -29,9 +29,11 @@ GATES = [
 ]
 
 _V = r"(?: version| v)?"
-#: label, keyword, the name as words, and its short identifier as words. Of names that start alike, the longer comes first.
+#: label, keyword, the name as words, and its short identifier as words (None: a further
+#: name of a license above). Whatever the name matches contains the keyword. Of names that start alike, the longer comes first.
 NAMES = [
-    ("mit", "mit", r"(?:mit|expat|x11 mit) license", r"mit"),
+    ("mit", "mit", r"(?:mit|x11 mit) license", r"mit"),
+    ("mit", "expat", r"expat license", None),
     ("mit-0", "mit", r"mit no attribution(?: license)?", r"mit 0"),
     ("x11", "x11", r"x11 license", r"x11"),
     ("isc", "isc", r"isc license", r"isc"),
@@ -60,7 +62,8 @@ NAMES = [
     ("boost-1", "boost", rf"boost software license(?:{_V} 1(?: 0)?)?", r"bsl 1 0"),
     ("zlib", "zlib", r"zlib(?: libpng)? license", r"zlib"),
     ("openssl", "openssl", r"openssl license", r"openssl"),
-    ("python-2", "python", r"python software foundation license(?: version 2)?|psf license(?: version 2)?", r"psf 2 0|python 2 0"),
+    ("python-2", "python", r"python software foundation license(?: version 2)?", r"psf 2 0|python 2 0"),
+    ("python-2", "psf", r"psf license(?: version 2)?", None),
     ("php-3", "php", rf"php license(?:{_V} 3(?: 0[01]?)?)?", r"php 3 0[01]?"),
     ("ruby", "ruby", r"ruby license", r"ruby"),
     ("postgresql", "postgresql", r"postgresql license", r"postgresql"),
@@ -72,7 +75,8 @@ NAMES = [
     ("afl-3", "academic free", rf"academic free license(?:{_V} 3(?: 0)?)?", r"afl 3 0"),
     ("ofl-1.1", "open font", rf"(?:sil )?open font license(?:{_V} 1 1)?", r"ofl 1 1"),
     ("unlicense", "unlicense", r"unlicense", r"unlicense"),
-    ("wtfpl", "wtfpl", r"wtfpl|do what the fuck you want to public license", r"wtfpl"),
+    ("wtfpl", "wtfpl", r"wtfpl", r"wtfpl"),
+    ("wtfpl", "you want to public license", r"do what the fuck you want to public license", None),
     ("cc0-1", "cc0", r"cc0(?: 1 0)?(?: universal)?", r"cc0 1 0"),
     ("cc-by-nc-sa", "by nc sa", r"(?:cc|creative commons) by nc sa(?: [1-4] [05])?", r"cc by nc sa [1-4] [05]"),
     ("cc-by-nc-nd", "by nc nd", r"(?:cc|creative commons) by nc nd(?: [1-4] [05])?", r"cc by nc nd [1-4] [05]"),
@@ -119,7 +123,7 @@ def rules() -> list[dict]:
     """All rules, the highest rank first. keyword: a string of the words; words: an expression that starts at a word's space."""
     whole = lambda words: f" (?:{words})(?= )"
     out = [{"k": phrase, "p": whole(phrase), "prio": 100, "label": label, "base": 1} for phrase, label in BASE.items()]
-    out += [{"k": "spdx", "p": whole(rf"spdx license identifier (?:{short})"), "prio": 98, "label": label, "base": 0} for label, _, _, short in NAMES]
+    out += [{"k": "spdx", "p": whole(rf"spdx license identifier (?:{short})"), "prio": 98, "label": label, "base": 0} for label, _, _, short in NAMES if short]
     out += [{"k": key, "p": whole(way.format(name=f"(?:{name})")), "prio": prio, "label": label, "base": 0} for prio, way in WAYS for label, key, name, _ in NAMES]
     out += [{"k": key, "p": whole(words), "prio": prio, "label": label, "base": 0} for prio, key, words, label in OTHERS]
     out.sort(key=lambda r: -r["prio"])

@@ -1,7 +1,6 @@
 """Every text that a license rule can match, by all its alternatives."""
 
 import itertools
-import re
 
 try:
     from re import _parser as parser
@@ -53,3 +52,10 @@ def test_a_signature_fires_by_itself(spark):
     }
     out, names = licenses.find(spark.createDataFrame(list(texts.items()), "label string, text string"))
     assert all({d.label for d in r[names["kept"]]} == {r.label} for r in out.collect())
+
+
+def test_whatever_a_rule_matches_contains_its_keyword(spark):
+    assert not {(r["k"], text) for r, text in texts_of_rules() if r["k"] not in text}
+    texts = [("mit", "released under the Expat License"), ("python-2", "the PSF license"), ("wtfpl", "Do What The Fuck You Want To Public License")]
+    out, names = licenses.find(spark.createDataFrame(texts, "label string, text string"))
+    assert all({d.label for d in r[names["kept"]]} == {r.label} for r in out.collect())
