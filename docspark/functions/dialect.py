@@ -7,6 +7,9 @@ In replacements `\\1` stands for a group. A quote in a pattern is written `\\x27
 from __future__ import annotations
 
 
+BACKSLASH = "\\"
+
+
 class Spark:
     name = "spark"
     newline = "'\\n'"
@@ -20,7 +23,7 @@ class Spark:
         return f"regexp_like({s}, {self.pattern(p)})"
 
     def sub(self, s: str, p: str, r: str = "") -> str:
-        return f"regexp_replace({s}, {self.pattern(p)}, r'{r.replace(chr(92), '$')}')"
+        return f"regexp_replace({s}, {self.pattern(p)}, r'{r.replace(BACKSLASH, '$')}')"
 
     def count(self, s: str, p: str) -> str:
         return f"cast(regexp_count({s}, {self.pattern(p)}) as bigint)"
@@ -64,6 +67,35 @@ class Spark:
     def distinct_sorted(self, xs: str) -> str:
         return f"array_sort(array_distinct({xs}))"
 
+    def distinct(self, xs: str) -> str:
+        """The different values of xs, in the order of their first places."""
+        return f"array_distinct({xs})"
+
+    def slice(self, xs: str, start: int, n: int) -> str:
+        return f"slice({xs}, {start}, {n})"
+
+    def concat(self, *xs: str) -> str:
+        """Arrays one after another."""
+        return f"concat({', '.join(xs)})"
+
+    def position_of(self, xs: str, x: str) -> str:
+        """The first place of x in xs, from 1."""
+        return f"cast(array_position({xs}, {x}) as bigint)"
+
+    def least_of(self, xs: str) -> str:
+        return f"array_min({xs})"
+
+    def control(self, n: int) -> str:
+        """The character of a code point."""
+        return f"char({n})"
+
+    def to_json(self, fields: dict[str, str]) -> str:
+        return f"to_json(struct({', '.join(f'{v} as {k}' for k, v in fields.items())}))"
+
+    def parse_items(self, text: str) -> str:
+        """The items (id, zh) of a JSON answer; null if it does not parse."""
+        return f"from_json({text}, 'items array<struct<id: bigint, zh: string>>').items"
+
     def has(self, xs: str, x: str) -> str:
         return f"array_contains({xs}, {x})"
 
@@ -170,6 +202,30 @@ class Duck(Spark):
     def distinct_sorted(self, xs: str) -> str:
         return f"list_sort(list_distinct({xs}))"
 
+    def distinct(self, xs: str) -> str:
+        return f"list_filter({xs}, lambda x, i: list_position({xs}, x) = i)"
+
+    def slice(self, xs: str, start: int, n: int) -> str:
+        return f"({xs})[{start}:{start + n - 1}]"
+
+    def concat(self, *xs: str) -> str:
+        return f"({' || '.join(xs)})"
+
+    def position_of(self, xs: str, x: str) -> str:
+        return f"cast(list_position({xs}, {x}) as bigint)"
+
+    def least_of(self, xs: str) -> str:
+        return f"list_min({xs})"
+
+    def control(self, n: int) -> str:
+        return f"chr({n})"
+
+    def to_json(self, fields: dict[str, str]) -> str:
+        return f"cast(to_json(struct_pack({', '.join(f'{k} := {v}' for k, v in fields.items())})) as varchar)"
+
+    def parse_items(self, text: str) -> str:
+        return f"""from_json(case when json_valid({text}) then {text} end, '{{"items": [{{"id": "BIGINT", "zh": "VARCHAR"}}]}}').items"""
+
     def has(self, xs: str, x: str) -> str:
         return f"list_contains({xs}, {x})"
 

@@ -39,6 +39,9 @@ GLOSSARY = {
     "KPIs": "Key Performance Indicators (KPIs)", "ROI": "Return on Investment (ROI)", "SRE": "Site Reliability Engineer (SRE)", "SREs": "Site Reliability Engineers (SREs)",
     "PR": "Pull Request (PR)", "PRs": "Pull Requests (PRs)", "CI": "Continuous Integration (CI)", "CD": "Continuous Deployment (CD)",
 }
+MAGNITUDE, MARKER_LEAK = r"万|亿|千|[KMBT](?:[^A-Za-z0-9_]|\z)|百分", r"(?i)</?think|<system|assistant:|```|\x22schema_version\x22"
+#: SQL strings.
+EMPTY, SPACE, COMMA, SEMICOLON, EMPTY_REASON, QUOTE = "''", "' '", "','", "';'", "'empty'", "'"
 NUMBER, LATIN_WORD = r"[0-9]+(?:[.,][0-9]+)*", r"[A-Za-z][A-Za-z\x27’-]{3,}"
 
 
@@ -79,21 +82,21 @@ def toc_entry(d: Spark, t: str) -> str:
 
 def roman(d: Spark, t: str) -> str:
     u = f"upper({t})"
-    return f"({d.like(u, r'^[MDCLXVI]{2,7}' + chr(92) + 'z')} and {d.like(u, r'^M{0,3}(?:CM|CD|D?C{0,3})(?:XC|XL|L?X{0,3})(?:IX|IV|V?I{0,3})' + chr(92) + 'z')})"
+    return f"({d.like(u, r'^[MDCLXVI]{2,7}\z')} and {d.like(u, r'^M{0,3}(?:CM|CD|D?C{0,3})(?:XC|XL|L?X{0,3})(?:IX|IV|V?I{0,3})\z')})"
 
 
 def strip_page_numbers(d: Spark, t: str) -> str:
     s = trim(d, t)
     lead = d.ext(s, r"^([MDCLXVImdclxvi]{2,7})\s+", 1)
-    s = f"(case when {lead} <> '' and {roman(d, lead)} then {d.sub(s, r'^[MDCLXVImdclxvi]{2,7}' + chr(92) + 's+')} else {s} end)"
+    s = f"(case when {lead} <> '' and {roman(d, lead)} then {d.sub(s, r'^[MDCLXVImdclxvi]{2,7}\s+')} else {s} end)"
     s = d.sub(s, r"^[0-9]{1,3}\s+([A-Z])", "\\1")
-    return trim(d, f"(case when {d.length(s)} > 60 then {d.sub(s, chr(92) + 's+[0-9]{1,3}' + chr(92) + 's*' + chr(92) + 'z')} else {s} end)")
+    return trim(d, f"(case when {d.length(s)} > 60 then {d.sub(s, r'\s+[0-9]{1,3}\s*\z')} else {s} end)")
 
 
 def heading_number(d: Spark, t: str) -> str:
     p = r"^([0-9]{1,2})([0-9]{1,2}\.[0-9]+(?:\.[0-9]+)?)([A-Z])"
     a, b = d.ext(t, p, 1), d.ext(t, p, 2)
-    return f"(case when {a} <> '' and {d.starts(b, a)} then {d.sub(t, p, chr(92) + '2' + chr(92) + '3')} else {t} end)"
+    return f"(case when {a} <> '' and {d.starts(b, a)} then {d.sub(t, p, r'\2\3')} else {t} end)"
 
 
 def empty_furniture(d: Spark, t: str) -> str:
@@ -188,7 +191,7 @@ def chapter(d: Spark, t: str) -> str:
 
 
 def safe_id(d: Spark, t: str) -> str:
-    return f"({t} not in ('.', '..') and {d.like(t, '^[A-Za-z0-9_.-]+' + chr(92) + 'z')})"
+    return f"({t} not in ('.', '..') and {d.like(t, r'^[A-Za-z0-9_.-]+\z')})"
 
 
 def despace_cjk(d: Spark, t: str) -> str:
@@ -222,7 +225,7 @@ def han(d: Spark, t: str) -> str:
 
 
 def index_like(d: Spark, t: str) -> str:
-    return f"({d.count(t, r'[,，]' + chr(92) + 's*[0-9][0-9' + chr(92) + '-–,，' + chr(92) + 's]{3,}')} >= 2)"
+    return f"({d.count(t, r'[,，]\s*[0-9][0-9\-–,，\s]{3,}')} >= 2)"
 
 
 def table_like(d: Spark, t: str) -> str:
@@ -328,7 +331,7 @@ def latin_residue(d: Spark, source: str, out: str) -> str:
 def join_lines(d: Spark, lines: str) -> str:
     """Lines as one text; a word that is split with a hyphen before a lower-case start is joined."""
     solid = d.filter(d.map(lines, "x", trim(d, "x")), "x", "x <> ''")
-    return collapse(d, d.sub(d.join(solid, d.newline), rf"([A-Za-z])-{chr(92)}n([a-z])", "\\1\\2"))
+    return collapse(d, d.sub(d.join(solid, d.newline), r"([A-Za-z])-\n([a-z])", "\\1\\2"))
 
 
 def apply(function: Callable[..., str], *inputs: str) -> Column:
