@@ -27,6 +27,8 @@ LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 NUMBERED_ITEM = re.compile(r"^\s*(?:\(\d+(?:\.\d+)*\)|\d+(?:\.\d+)*[.)]\s+|[a-zA-Z][.)]\s+)")
 BULLET_ITEM = re.compile(r"^\s*[•●▪◦■*\-–—―·]\s*")
 SECTION = re.compile(r"^\d+(?:\.\d+)+\s*[A-Z]")
+FIRST_SPACING, TITLE_SIZE, TITLE_CHARS = 1.5, 15, 40
+FIRST_CODE_SYMBOL, MONO_FONT = re.compile(r"[{};=()\[\]<>]|=>|::|//"), re.compile(r"Courier|Consolas|Menlo|Monaco|monospace|Code\d*$", re.I)
 BATCH_LINE = re.compile(r"^\s*(\d+)\s*[.、)．]\s*(.*)$")
 
 
@@ -108,6 +110,50 @@ def paragraphs(lines: Iterable[tuple[str, float, float, int, int]], body_size: f
     return out
 
 
+def first_paragraphs(lines: Iterable[tuple[str, float, str, float]]) -> list[tuple[str, str]]:
+    """(type, text) of the paragraphs of (text, size, font, y) lines of a page, by the first rules: title, code or body."""
+    out: list[dict] = []
+    for text, size, font, y in lines:
+        now = out[-1] if out else None
+        if now and now["y"] - y <= size * FIRST_SPACING and min(size, now["size"]) / max(size, now["size"]) > 1 - FONT_TOLERANCE:
+            now["texts"].append(text)
+            now["size"], now["y"] = max(size, now["size"]), y
+        else:
+            out.append({"texts": [text], "size": size, "font": font, "y": y})
+    found = []
+    for p in out:
+        text = " ".join(p["texts"]).strip()
+        dense = len(text) > 40 and len(FIRST_CODE_SYMBOL.findall(text)) > len(text) / 20
+        kind = "title" if p["size"] >= TITLE_SIZE and 0 < len(text) <= TITLE_CHARS else "code" if MONO_FONT.search(p["font"]) or dense else "body"
+        found.append((kind, text))
+    return found
+
+
+def case_paragraphs(spans: Iterable[tuple[str, float, float, float]]) -> list[tuple[str, int, float]]:
+    """(text, lines, size) of the paragraphs of (text, y, x, size) spans of a page, for benchmark cases."""
+    lines: list[list[tuple[str, float, float, float]]] = []
+    for s in spans:
+        if not s[0].strip():
+            continue
+        for line in lines:
+            if abs(line[0][1] - s[1]) < 2:
+                line.append(s)
+                break
+        else:
+            lines.append([s])
+    out: list[tuple[list[str], float]] = []
+    before = None
+    for line in sorted(lines, key=lambda x: -x[0][1]):
+        y, parts = line[0][1], sorted(line, key=lambda s: s[2])
+        text, size = "".join(s[0] for s in parts).strip(), parts[0][3]
+        if out and before - y <= 16 and abs(size - out[-1][1]) <= 2:
+            out[-1][0].append(text)
+        else:
+            out.append(([text], size))
+        before = y
+    return [(" ".join(" ".join(texts).split()), len(texts), size) for texts, size in out]
+
+
 def rejoin(paras: Iterable[tuple[str, int]], most: int = 4000) -> list[tuple[str, int]]:
     """(text, page) paragraphs, those joined that a line end had split within a sentence."""
     out: list[tuple[str, int]] = []
