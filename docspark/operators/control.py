@@ -14,7 +14,7 @@ from dataclasses import asdict, dataclass, field
 from pathlib import Path
 
 from docspark.plans.catalog import ACTIVE, LEGAL
-from docspark.sources.logs import load_snapshot, safe_folder, snapshot
+from docspark.sources.logs import Debounced, load_snapshot, safe_folder, snapshot
 
 
 class Stopped(Exception):
@@ -62,24 +62,53 @@ class Failover:
         return False
 
 
+class EnginePool:
+    """One engine at a time, which is made again when its model, device or number of threads changes."""
+
+    def __init__(self, make: Callable[[str, str, int], object], close: Callable[[object], None] = lambda engine: None):
+        self.make, self.close = make, close
+        self.key, self.engine = None, None
+
+    def get(self, model: str, device: str, threads: int) -> object:
+        if self.key != (model, device, threads):
+            self.release()
+            self.engine, self.key = self.make(model, device, threads), (model, device, threads)
+        return self.engine
+
+    def release(self) -> None:
+        if self.key is not None:
+            engine, self.engine, self.key = self.engine, None, None
+            self.close(engine)
+
+
 class JobManager:
     def __init__(self, root: str, work: Work, notify: Callable[[Job], None] = lambda job: None):
         self.root, self.work, self.notify = root, work, notify
         self.lock = threading.RLock()
+        self.catalogue = Debounced(self._write)
         self.asked: dict[str, str] = {}
         self.jobs = {k: Job(**v) for k, v in (load_snapshot(self._catalogue) or {}).items()}
         for job in self.jobs.values():
             if job.status in ACTIVE:
                 job.status = "paused"
-        self._save()
+        self._write()
 
     @property
     def _catalogue(self) -> str:
         return str(Path(self.root, "jobs.json"))
 
+    def _write(self) -> None:
+        with self.lock:
+            Path(self.root).mkdir(parents=True, exist_ok=True)
+            snapshot(self._catalogue, {k: asdict(v) for k, v in self.jobs.items()})
+
     def _save(self) -> None:
-        Path(self.root).mkdir(parents=True, exist_ok=True)
-        snapshot(self._catalogue, {k: asdict(v) for k, v in self.jobs.items()})
+        """Changes in quick succession are saved together."""
+        self.catalogue.touch()
+
+    def flush(self) -> None:
+        """Save what is not saved yet; the program calls this before it ends."""
+        self.catalogue.flush()
 
     def move(self, job: Job, status: str) -> None:
         with self.lock:
@@ -121,11 +150,13 @@ class JobManager:
             shutil.rmtree(folder)
         del self.jobs[job_id]
         self._save()
+        self.flush()
 
     def run_queued(self) -> None:
         """Runs queued jobs one after another until none is left."""
         while job := next((j for j in self.jobs.values() if j.status == "queued"), None):
             self._run(job)
+        self.flush()
 
     def _run(self, job: Job) -> None:
         def report(phase: str, progress: float) -> None:

@@ -40,6 +40,27 @@ def read_items(spark: SparkSession, path: str, make_parser: Callable[[], Parser]
     return items.where(keep if not page_limit else keep & (F.col("error").isNotNull() | (F.col("page") <= page_limit)))
 
 
+IMAGE = "page int, name string, x double, y double, w double, h double, kind string, bytes binary"
+
+
+def read_images(spark: SparkSession, path: str, make_parser: Callable[[], Parser]) -> DataFrame:
+    """Embedded images of the files under path, with path and error."""
+    ship(spark)
+    columns = [c.split(" ")[0] for c in IMAGE.split(", ")]
+
+    def parse(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parser = make_parser()
+        for part in parts:
+            for name, content in zip(part.path, part.content, strict=True):
+                try:
+                    out = pd.DataFrame(parser(content), columns=columns).assign(error=None)
+                except Exception as error:  # of this file only
+                    out = pd.DataFrame([[None] * len(columns)], columns=columns).assign(error=repr(error))
+                yield out.assign(path=name)[["path", *columns, "error"]]
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, f"path string, {IMAGE}, error string")
+
+
 def detect(pages: DataFrame, make_detector: Callable[[], Callable[[bytes], Iterable[tuple]]], least: float = 0.3, classes: tuple[str, ...] = ("image", "chart", "table")) -> DataFrame:
     """pages(doc_id, page, pixels) -> boxes that score `least` or more and are of a known class; the model is made once per worker."""
     ship(pages.sparkSession)

@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import json
 import os
+import threading
 import time
 import uuid
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +37,56 @@ def append_results(results: DataFrame, path: str, version: int) -> None:
     results.select(F.col("unit_id").alias("unitId"), F.col("text").alias("translatedText")).write.mode("append").json(f"{path}/capture_version={version}")
 
 
+def archive_stale(spark: SparkSession, path: str, version: int) -> list[str]:
+    """Logs of other capture versions get the ending .stale, so that they are kept but not read; the new names."""
+    jvm, done = spark._jvm.org.apache.hadoop.fs, []
+    root = jvm.Path(path)
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(root):
+        return done
+    for status in files.listStatus(root):
+        name = status.getPath().getName()
+        if name.startswith("capture_version=") and name != f"capture_version={version}" and not name.endswith(".stale"):
+            old, k = jvm.Path(root, name + ".stale"), 1
+            while files.exists(old):
+                old, k = jvm.Path(root, f"{name}.{k}.stale"), k + 1
+            if not files.rename(status.getPath(), old):
+                raise OSError(f"cannot rename {status.getPath()}")
+            done.append(old.getName())
+    return sorted(done)
+
+
+class Debounced:
+    """Calls save() once for the touches of a while: `wait` seconds after the first of them, or at flush()."""
+
+    def __init__(self, save: Callable[[], None], wait: float = 0.12):
+        self.save, self.wait = save, wait
+        self.lock, self.timer = threading.Lock(), None
+
+    def touch(self) -> None:
+        with self.lock:
+            if self.timer is None:
+                self.timer = threading.Timer(self.wait, self.flush)
+                self.timer.daemon = True
+                self.timer.start()
+
+    def flush(self) -> None:
+        """Save now if there was a touch since the last save."""
+        with self.lock:
+            timer, self.timer = self.timer, None
+        if timer is not None:
+            timer.cancel()
+            self.save()
+
+
+def assert_written(path: str) -> int:
+    """The bytes of an output file; raises if it is missing or empty."""
+    size = Path(path).stat().st_size if Path(path).is_file() else 0
+    if not size:
+        raise OSError(f"no output at {path}")
+    return size
+
+
 def cache_key(*parts: str):
     return F.sha2(F.concat_ws("\x00", *parts), 256)
 

@@ -19,6 +19,7 @@ def test_jobs_run_in_order_and_survive(tmp_path):
     assert [s for s in seen if s[1] in ("extracting", "done")] == [("a", "extracting"), ("a", "done"), ("b", "extracting"), ("b", "done")]
     manager.jobs["b"].status = "translating"
     manager._save()
+    manager.flush()
     again = JobManager(str(tmp_path), steps)
     assert [(j.id, j.status) for j in again.list()] == [("a", "done"), ("b", "paused")]
     again.resume("b")
