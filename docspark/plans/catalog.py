@@ -240,7 +240,11 @@ plan("e16_throughput")(
     lambda d: f"select event_type, count(*) as n, round(sum(value) / 1000.0, 6) as total, {d.at(d.ordered('ms', 'ms'), d.div('count(*)', '2') + ' + 1')} as p50 from (select event_type, value, cast(round(value * 1000) as bigint) as ms from events) group by event_type"
 )
 plan("e31_run_summary")(lambda d: "select user_id, round(avg(value), 6) as mean, min(value) as low, max(value) as high, count(*) as n from events where value is not null group by user_id")
-plan("e23_gate")(lambda d: f"select a.conv_id, a.n as total, a.good > b.good and a.n = b.n as better from (select conv_id, count(*) as n, {d.count_if('length(left_text) > 100')} as good from v_pairs group by conv_id) a join (select conv_id, count(*) as n, {d.count_if('length(right_text) > 100')} as good from v_pairs group by conv_id) b on b.conv_id = a.conv_id")
+#: A case passes if its output has Latin text and a sound length; run b is run a with some outputs cut.
+PASSES = lambda d, out: f"({t.residual(d, out, 'latin')} and length(left_text) > 0 and cast(length({out}) as double) / length(left_text) between 0.12 and 2.2)"
+plan("e23_gate")(
+    lambda d: f"select conv_id, total, passed_a, passed_b, passed_a > passed_b as better, same = total as identical from (select conv_id, count(*) as total, {d.count_if(PASSES(d, 'out_a'))} as passed_a, {d.count_if(PASSES(d, 'out_b'))} as passed_b, {d.count_if('out_a = out_b')} as same from (select conv_id, left_text, right_text as out_a, case when (conv_id + turn) % 4 = 0 then substring(right_text, 1, 3) else right_text end as out_b from v_pairs) group by conv_id)"
+)
 
 
 def sentence_ends(d: Spark) -> str:

@@ -80,6 +80,20 @@ def sparse_figures(boxes: DataFrame, ink: str = "ink") -> DataFrame:
     return boxes.where(F.col("class").isin("image", "chart") & (F.col("h") >= 40) & (F.col("w") >= 60) & F.col(ink).between(0.5, 12))
 
 
+def figure_regions(pages: DataFrame, make_detector: Callable[[], Callable[[bytes], Iterable[tuple]]] | None, ink: Callable[[DataFrame], DataFrame], matched: DataFrame) -> DataFrame:
+    """Figure regions of pages(doc_id, page, pixels): sparse boxes of the detector that no matched image (doc_id, page, y, h) covers.
+
+    Without a detector there are none. ink adds the percentage of dark pixels to boxes. A region is covered if its centre
+    is nearer to an image's than 0.4 of both heights.
+    """
+    if make_detector is None:
+        return pages.sparkSession.createDataFrame([], f"doc_id long, page int, {BOX}, ink double")
+    boxes = sparse_figures(ink(detect(pages, make_detector)))
+    images = matched.select(F.col("doc_id").alias("its_doc"), F.col("page").alias("its_page"), F.col("y").alias("its_y"), F.col("h").alias("its_h"))
+    near = F.abs(F.col("y") + F.col("h") / 2 - F.col("its_y") - F.col("its_h") / 2) < 0.4 * (F.col("h") + F.col("its_h"))
+    return boxes.join(images, (F.col("doc_id") == F.col("its_doc")) & (F.col("page") == F.col("its_page")) & near, "left_anti")
+
+
 def detector_recall(captioned: DataFrame, boxes: DataFrame) -> DataFrame:
     """Pages with a caption, those of them with a figure or table box, and the share."""
     hits = captioned.join(boxes.where(F.col("class").isin("image", "chart", "table")), ["doc_id", "page"], "left_semi")

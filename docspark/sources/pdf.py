@@ -1,7 +1,7 @@
 """A parser for files.read_items: text items and images of plain PDF files, without a library.
 
 It reads objects, object streams and Flate streams, walks the page tree, and replays the text and image operators of each
-page's content and forms. Texts are decoded by a font's ToUnicode map, else as Latin-1; encryption, other filters and
+page's content and forms. Texts are decoded by a font's ToUnicode map, else as Windows Latin; encryption, other filters and
 glyph widths of a font program are not read: a width is that of the font's Widths, else half the size for a character.
 """
 
@@ -184,11 +184,14 @@ class Font:
         to_unicode = doc.get(spec.get("ToUnicode"))
         self.map = _unicode_map(doc.content(to_unicode)) if isinstance(to_unicode, tuple) else {}
         self.bytes = 2 if spec.get("Subtype") == "Type0" else 1
+        self.unicode = str(doc.get(spec.get("Encoding")) or "").endswith(("UCS2-H", "UTF16-H"))  # codes are characters
         self.first, self.widths = doc.get(spec.get("FirstChar")) or 0, [doc.get(x) for x in doc.get(spec.get("Widths")) or []]
 
     def decode(self, raw: bytes) -> str:
+        if self.unicode and not self.map:
+            return raw.decode("utf-16-be", "replace")
         codes = [raw[i : i + self.bytes] for i in range(0, len(raw), self.bytes)]
-        return "".join(self.map.get(c, c.decode("latin-1") if self.bytes == 1 else "") for c in codes)
+        return "".join(self.map.get(c, c.decode("cp1252", "replace") if self.bytes == 1 else "") for c in codes)
 
     def width(self, raw: bytes) -> float:
         """In units of the size."""

@@ -92,3 +92,12 @@ def test_hardware(spark):
     sizes = spark.createDataFrame([("a", 20 << 20), ("b", 5)], "id string, length long")
     running = spark.createDataFrame([("c", "downloading")], "id string, status string")
     assert {r.id: r.status for r in h.catalogue(models, sizes, running).collect()} == {"a": "available", "b": "not-downloaded", "c": "downloading"}
+
+
+def test_figure_regions(spark):
+    pages = spark.createDataFrame([(1, 1, b"x"), (1, 2, b"y")], "doc_id long, page int, pixels binary")
+    boxes = [("image", 0.9, 10.0, 10.0, 100.0, 60.0), ("image", 0.2, 10.0, 300.0, 100.0, 60.0), ("table", 0.9, 10.0, 500.0, 100.0, 60.0)]
+    matched = spark.createDataFrame([(1, 1, 12.0, 60.0)], "doc_id long, page int, y double, h double")
+    ink = lambda df: df.withColumn("ink", F.lit(5.0))
+    assert [(r.doc_id, r.page, r["class"]) for r in files.figure_regions(pages, lambda: lambda pixels: boxes, ink, matched).collect()] == [(1, 2, "image")]
+    assert files.figure_regions(pages, None, ink, matched).count() == 0

@@ -1,8 +1,10 @@
 """Folds, validators and translators against plain loops that are written another way."""
 
 import functools
+import http.server
 import itertools
 import random
+import threading
 import time
 import zlib
 
@@ -13,7 +15,7 @@ from docspark.operators import folds, translate
 from docspark.operators.control import EnginePool, JobManager
 from docspark.plans import catalog, translations
 from docspark.plans import folds as plans
-from docspark.sources import files, logs, pdf
+from docspark.sources import compose, download, files, logs, pdf
 
 SF = "/root/testdata/sf0.001"
 
@@ -204,3 +206,78 @@ def test_flate_png_is_the_pixels():
     data = png[png.index(b"IDAT") + 4 : png.index(b"IEND") - 8]
     raw = zlib.decompress(data)
     assert b"".join(raw[k * 13 + 1 : k * 13 + 13] for k in range(4)) == rows
+
+
+def test_composed_pages_are_read_again():
+    page = compose.Composer()
+    page.block("heading", 1, "Chapter (one)")
+    page.block("paragraph", 0, "Some words of a paragraph 和一些中文 that goes on. " * 60)
+    page.block("list-item", 0, "", ["first", "second"])
+    page.block("code", 0, "def f(x):\n    return x")
+    page.block("table", 0, "", cells=[["Name", "Value"]] + [[f"row {k}", "words of a cell " * 4] for k in range(30)])
+    data = page.bytes()
+    items = list(pdf.parse(data))
+    text = " ".join(i[2] for i in items)
+    assert compose.is_pdf(data) and not compose.is_pdf(data[:-30]) and len(page.pages) > 2
+    assert "Chapter (one)" in text and text.count("paragraph") == 60 and text.replace(" ", "").count("一些中文") == 60 and "def f(x):" in text and "second" in text
+    assert sum(i[2] == "Name" for i in items) == len({i[0] for i in items if i[2].startswith("row ")})
+    assert all(compose.MARGIN - 1 <= i[4] <= compose.HEIGHT - compose.MARGIN for i in items)
+
+
+def test_long_texts_are_split():
+    seen = []
+
+    class Noted:
+        def translate(self, text):
+            seen.append(text)
+            return text.upper()
+
+    text = " ".join(f"Sentence number {k} of a long text." for k in range(400))
+    assert translate.Splitting(Noted()).translate(text) == text.upper()
+    assert len(seen) > 2 and all(len(x) // 3 <= 1800 for x in seen) and all(x.endswith(".") for x in seen)
+
+
+def test_download_goes_on_and_promotes(tmp_path):
+    data, asked = bytes(range(256)) * 40, []
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            asked.append(self.headers.get("Range"))
+            start = int(asked[-1][6:-1]) if asked[-1] and "whole" not in self.path else 0
+            if start >= len(data):
+                self.send_error(416)
+                return
+            self.send_response(206 if start else 200)
+            if start:
+                self.send_header("Content-Range", f"bytes {start}-{len(data) - 1}/{len(data)}")
+            self.send_header("Content-Length", str(len(data) - start))
+            self.end_headers()
+            self.wfile.write(data[start:])
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    try:
+        for k, (path, before) in enumerate((("/a", data[:1000]), ("/whole", data[:1000]), ("/b", data + b"more"))):
+            target = tmp_path / f"f{k}"
+            (tmp_path / f"f{k}.part").write_bytes(before)
+            assert download.download(base + path, str(target), least=10) == len(data) and target.read_bytes() == data
+        assert asked[0] == "bytes=1000-" and download.download(base + "/a", str(tmp_path / "f0"), least=10) == len(data)
+        with pytest.raises(OSError, match="bytes of"):
+            download.download(base + "/a", str(tmp_path / "g"), least=10**6)
+        seen = []
+        models = download.Models(str(tmp_path / "m"), {"x": base + "/x", "y": base + "/y"}, lambda *a: seen.append(a), least=10)
+        with pytest.raises(download.Canceled):
+            models.fetch("x", stop=lambda: True)
+        models.fetch("x")
+        models.fetch("y")
+        assert models.default == "x" and models.status("y") == "available" and seen[-1] == ("y", "available", 100.0)
+        models.remove("x")
+        assert models.default == "y" and models.status("x") == "not-downloaded"
+        with pytest.raises(ValueError, match="not available"):
+            models.set_default("x")
+    finally:
+        server.shutdown()
