@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import contextlib
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -17,7 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,33 +28,74 @@ from docspark.cluster import ship
 BATCH_ROWS = 2000
 #: Bytes of text that are handled at once; a longer text is handled alone.
 CHUNK_BYTES = 1 << 19
+#: Bits of a bitmap of keys: so many for each key, at least, and at most. A full bitmap lets all rows through to the join.
+BITS_PER_KEY, LEAST_BITS, MOST_BITS = 16, 1 << 20, 1 << 27
 _BASE = 0x9E3779B97F4A7C15 | 1
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset (tests), one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or the checkpoint folder of the context.
+
+    Where both are unset, a folder of our own if all runs on this machine (local master); on a cluster that is an error.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None)
-    jsc = spark.sparkContext._jsc.sc()
+    there = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not where and there.isDefined():
+        where = there.get()
     if not where:
-        there = jsc.getCheckpointDir()
-        where = there.get() if there.isDefined() else tempfile.mkdtemp(prefix="docspark-")
-    if jsc.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(where)
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: it names the folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="docspark-"))
+        return shared_dir(spark)
     return where.rstrip("/")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """df with its lineage cut at files in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def scratch(spark: SparkSession, what: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete what scratch() named, if it is there."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
+
+
+class Tables:
+    """Intermediate tables in the shared folder, which go when the context ends; those of result() stay."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Tables:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for path in self.paths:
+            remove(self.spark, path)
+
+    def stored(self, df: DataFrame, what: str, batch: int | None = None) -> DataFrame:
+        out, path = _stored(df, what, batch)
+        self.paths.append(path)
+        return out
+
+    def result(self, df: DataFrame, what: str) -> DataFrame:
+        return stored(df, what)
+
+
+def in_bitmap(keys: DataFrame) -> tuple[DataFrame, Column, Column]:
+    """A bitmap of a stored table's keys, for a broadcast; the part of it that a row's key is in, and whether its bit is on."""
+    n = keys.count()
+    size = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_PER_KEY * n).bit_length()))
+    place = lambda: F.pmod(F.xxhash64("key"), F.lit(size)) + 1
+    rows = keys.select(place().alias("x")).groupBy(F.bitmap_bucket_number("x").alias("bits_part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits"))
+    at = F.bitmap_bit_position(place())
+    byte = F.conv(F.hex(F.substring(F.col("bits"), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    on = F.floor(byte / F.pow(F.lit(2.0), at % 8)) % 2 == 1
+    return F.broadcast(rows), F.bitmap_bucket_number(place()), on
+
+
 def thinned(df: DataFrame, column: str, most: int, salt: int) -> DataFrame:
     """df, or if it has more than 2 * most rows, those with the smallest hashes of a column, about 2 * most of them.
 
@@ -230,11 +272,23 @@ def stored(df: DataFrame, what: str, batch: int | None = None) -> DataFrame:
 
     batch: rows of an Arrow batch while it is made, where rows are large.
     """
-    path, key = scratch(df.sparkSession, what), "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = df.sparkSession.conf.get(key)
+    return _stored(df, what, batch)[0]
+
+
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """While it holds, Arrow batches have no more rows than this."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
     try:
-        df.sparkSession.conf.set(key, batch or min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS)
-        df.write.parquet(path)
+        spark.conf.set(key, min(int(before), rows) if int(before) > 0 else rows)
+        yield
     finally:
-        df.sparkSession.conf.set(key, before)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+        spark.conf.set(key, before)
+
+
+def _stored(df: DataFrame, what: str, batch: int | None = None) -> tuple[DataFrame, str]:
+    path = scratch(df.sparkSession, what)
+    with batches_of(df.sparkSession, batch or BATCH_ROWS):
+        df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path

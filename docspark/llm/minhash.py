@@ -1,16 +1,20 @@
 """Near-duplicates by ProbMinHash over shingles of five words, as sets and weighted by their counts.
 
-1. Equal texts are one node, named by their smallest doc_id and the text's MD5.
+1. Equal texts are one node, named by the text's MD5. A task sketches each of its texts once.
 2. Each node gets a signature: every distinct shingle, weighted by its count, is a Poisson process of that rate whose
    arrivals fall on random registers; a register keeps its earliest arrival. A process ends once its time passes the
    latest register, so most shingles arrive once or twice. Two registers agree with the probability Jaccard similarity.
    A text in which a shingle repeats gets a second signature, with each shingle's weight 1, whose registers agree with
    the Jaccard similarity of the sets; for other texts the two are the same.
-3. Nodes with an equal band of registers share a bucket. The bucket's leader is the member that shares most buckets with
-   others, so a group of copies is compared with its centre, not pair by pair. Leader pairs are verified exactly.
+3. Nodes with an equal band of registers share a bucket. Band rows are dealt out once, by ranges of (band, node), so that
+   a large bucket is many tasks' rows; only rows of shared buckets go on. A bucket's leader is the member that shares most
+   buckets with others, so a group of copies is compared with its centre, not pair by pair. Leader pairs are verified.
 4. Members of a bucket that are still in different components are compared in blocks of bounded size, by signature and
    then exactly; a pair of blocks gives one link for each two components. So a bucket loses no link, however large.
 5. Connected components of the links are the classes.
+
+Texts and sketches that are wanted again are found by a bitmap of their nodes' hashes, of a bounded size, that is sent to
+all tasks; only what it lets through is dealt out and joined. Nothing else is broadcast but what Spark finds small.
 """
 
 from __future__ import annotations
@@ -22,22 +26,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docspark.cluster import ship
-from docspark.llm.common import CHUNK_BYTES, Words, append_columns, fresh, give_back, mix64, stored, texts_of, words_of
+from docspark.llm.common import CHUNK_BYTES, Tables, Words, append_columns, fresh, give_back, in_bitmap, mix64, slices, texts_of, words_of
 from docspark.llm.components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
 #: Bytes of a sketch of one signature.
-SKETCH_BYTES = 2 * REGISTERS + 8 * BANDS
+SKETCH_BYTES = 2 * REGISTERS
 #: A pair is verified if at least this share of registers agrees: over four standard deviations below THRESHOLD.
 SCREEN = 0.64
 #: Bytes of signatures or shingles that are compared with each other at once, and blocks that one task compares with one block.
 REST_BYTES, ALL_BYTES, LOT = 2 << 20, 1 << 18, 64
 #: Rows of an Arrow batch: of pairs of blocks, and of pairs of texts.
 PAIR_ROWS, TEXT_ROWS = 8, 1000
-#: Tables of nodes with up to this many rows, of 24 bytes each, are broadcast; larger ones are joined by shuffle.
-BROADCAST_ROWS = 500_000
+#: Texts whose keys a task remembers, so as not to sketch copies of them again.
+REMEMBERED = 1 << 17
+NODE = T.BinaryType()
 _DOC_BITS = 12
 _MASK = np.uint64((1 << (64 - _DOC_BITS)) - 1)
 
@@ -98,115 +103,181 @@ def similarities(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarr
     return n / union, float(np.sum(1 / (below[last] / x[both] + above[last] / y[both])))
 
 
-def _sketch(nodes_texts: DataFrame) -> DataFrame:
-    """(node, text) -> (node, bands, sketch). A sketch is 16 bits of each register, then the bands.
+def _signed(texts: list[bytes]) -> tuple[list, list]:
+    """Bands and sketch of each text, both None for a text without a word. A sketch is 16 bits of each register.
 
-    Where a shingle repeats, bands are those of both signatures, once each, and the sketch of the sets follows that of
-    the weighted shingles.
+    Where a shingle repeats, bands and sketch of the sets follow those of the weighted shingles.
     """
-    fields = [T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())]
+    salt = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+    def banded(who):
+        band = np.zeros((len(who), BANDS), dtype=np.uint64) + salt
+        for k in range(ROWS):
+            band = mix64(band * np.uint64(0xD6E8FEB86659FD93) + who[:, k::ROWS])
+        return band.view(np.int64), mix64(who).astype(np.uint16)
+
+    bands, sketches = [], []
+    for lo in range(0, len(texts), 1 << _DOC_BITS):
+        part = texts[lo : lo + (1 << _DOC_BITS)]
+        w = words_of(part)
+        owner, h, count = shingles(w)
+        band, short = banded(signatures(len(part), owner, h, count))
+        some = w.counts > 0
+        own = [x.tolist() if k else None for x, k in zip(band, some, strict=True)]
+        sketched = [x.tobytes() if k else None for x, k in zip(short, some, strict=True)]
+        several = np.unique(owner[count > 1])
+        if len(several):
+            held = np.isin(owner, several)
+            band, short = banded(signatures(len(several), np.searchsorted(several, owner[held]), h[held], np.ones(int(held.sum()))))
+            for t, x, b in zip(several.tolist(), short, band, strict=True):
+                own[t] += b.tolist()
+                sketched[t] += x.tobytes()
+        bands += own
+        sketches += sketched
+    return bands, sketches
+
+
+def _sketch(texts: DataFrame) -> DataFrame:
+    """(key, text) -> (key, bands, sketch) of texts with a word. Copies that one task has are sketched once."""
+    schema = T.StructType([T.StructField("key", NODE), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())])
+
+    def run(batches):
+        seen: set[bytes] = set()
+        for batch in batches:
+            for part in slices(batch, 1):
+                keys, own = part.column(0).to_pylist(), texts_of(part.column(1))
+                new = []
+                for i, k in enumerate(keys):
+                    if k not in seen:
+                        seen.add(k)
+                        new.append(i)
+                if len(seen) > REMEMBERED:
+                    seen.clear()
+                bands, sketches = _signed([own[i] for i in new])
+                rows = [(keys[i], b, x) for i, b, x in zip(new, bands, sketches, strict=True) if x is not None]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.binary(), pa.list_(pa.int64()), pa.binary()), strict=True)], ["key", "bands", "sketch"])
+        give_back()
 
-    def make():
-        salt = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-
-        def banded(who):
-            band = np.zeros((len(who), BANDS), dtype=np.uint64) + salt
-            for k in range(ROWS):
-                band = mix64(band * np.uint64(0xD6E8FEB86659FD93) + who[:, k::ROWS])
-            return band, mix64(who).astype(np.uint16)
-
-        def sketch(_, texts):
-            bands, sketches = [], []
-            for lo in range(0, len(texts), 1 << _DOC_BITS):
-                part = texts[lo : lo + (1 << _DOC_BITS)]
-                w = words_of(part)
-                owner, h, count = shingles(w)
-                band, short = banded(signatures(len(part), owner, h, count))
-                some = w.counts > 0
-                own = [x.tolist() if k else None for x, k in zip(band.view(np.int64), some, strict=True)]
-                sketched = [x.tobytes() + b.tobytes() if k else None for x, b, k in zip(short, band, some, strict=True)]
-                several = np.unique(owner[count > 1])
-                if len(several):
-                    held = np.isin(owner, several)
-                    band, short = banded(signatures(len(several), np.searchsorted(several, owner[held]), h[held], np.ones(int(held.sum()))))
-                    for t, x, b in zip(several.tolist(), short, band, strict=True):
-                        own[t] = list(dict.fromkeys(own[t] + b.view(np.int64).tolist()))
-                        sketched[t] += x.tobytes() + b.tobytes()
-                bands += own
-                sketches += sketched
-            return [bands, sketches]
-
-        return sketch
-
-    return append_columns(nodes_texts, "text", fields, make).drop("text").where("bands is not null")
-
-
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of pairs(u, v) of nodes, those whose texts are similar enough."""
-    found = _texts(pairs.select(F.explode(F.array("u", "v")).alias("node")), texts)
-    both = pairs.join(found.select(F.col("node").alias("u"), F.col("text").alias("text_u")), "u").join(found.select(F.col("node").alias("v"), F.col("text").alias("text_v")), "v").select("u", "v", "text_u", "text_v")
+    ship(texts.sparkSession)
+    return texts.select("key", "text").mapInArrow(run, schema)
+
+
+def _shared_rows(batches):
+    """Of rows (band, key) in order, those of bands with two keys or more, once each; and all of the first and last band,
+    which may go on in the next task's rows. Of a band's rows, one at most is held back.
+
+    near is the number of a band's keys in a row's batch, so of most bands the size.
+    """
+    held, last = None, None  # a band's only row so far; (band, key) of the row before
+    schema = pa.schema([("band", pa.int64()), ("key", pa.binary()), ("near", pa.int64())])
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        band, keys = np.asarray(batch.column(0)), batch.column(1)
+        key = np.frombuffer(b"".join(keys.to_pylist()), dtype=np.uint64).reshape(-1, 2)
+        new_band = np.diff(band, prepend=band[:1]) != 0
+        new_band[0] = last is None or last[0] != band[0]
+        new = new_band | np.concatenate([[False], (key[1:] != key[:-1]).any(axis=1)])
+        new[0] = last is None or last != (band[0], key[0].tobytes())
+        run = np.cumsum(new_band)  # 0: the band of the batch before goes on
+        at = np.flatnonzero(new)
+        own = run[at]
+        many = np.bincount(own, minlength=int(run[-1]) + 1)[own]
+        keep = (many > 1) | (own == 0)
+        if last is None:
+            keep |= own == 1
+        if held is not None and (own == 0).any():
+            yield pa.RecordBatch.from_arrays([pa.array([held[0]], pa.int64()), pa.array([held[1]], pa.binary()), pa.array([1], pa.int64())], schema=schema)
+        if (own == 0).any() or run[-1] > 0:
+            held = None
+        if len(at) and not keep[-1] and own[-1] == run[-1]:
+            held = (int(band[at[-1]]), key[at[-1]].tobytes())
+        last = (band[-1], key[-1].tobytes())
+        if keep.any():
+            places = pa.array(at[keep], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(places), keys.take(places), pa.array(many[keep], pa.int64())], schema=schema)
+    if held is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([held[0]], pa.int64()), pa.array([held[1]], pa.binary()), pa.array([1], pa.int64())], schema=schema)
+    give_back()
+
+
+def _held(sketches: DataFrame) -> DataFrame:
+    """(key, bands, weight) of nodes that share a band, with those that they share and a few more; an exchange by ranges, one by key.
+
+    weight grows with the others that a node shares bands with; only the choice of leaders depends on it.
+    """
+    ship(sketches.sparkSession)
+    rows = sketches.select(F.explode("bands").alias("band"), "key").repartitionByRange("band", "key").sortWithinPartitions("band", "key")
+    shared = rows.mapInArrow(_shared_rows, T.StructType([T.StructField("band", T.LongType()), T.StructField("key", NODE), T.StructField("near", T.LongType())]))
+    # a node has 2 * BANDS bands at most
+    return shared.groupBy("key").agg(F.collect_set("band").alias("bands"), F.sum("near").alias("weight"))
+
+
+def _among(df: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of df(key, ...) whose key is in a stored table, and a few others that its bitmap lets through; once each."""
+    bits, part, on = in_bitmap(keys)
+    return df.join(bits, (part == F.col("bits_part")) & on).drop("bits_part", "bits").dropDuplicates(["key"])
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, tables: Tables) -> DataFrame:
+    """Of stored pairs(key, leader, ...) of nodes, those whose texts are similar enough."""
+    found = tables.stored(_among(texts, _ends(pairs)), "texts")
+    both = pairs.join(found.select(F.col("key"), F.col("text").alias("text_u")), "key").join(found.select(F.col("key").alias("leader"), F.col("text").alias("text_v")), "leader").select(*pairs.columns, "text_u", "text_v")
+    n = len(pairs.columns)
 
     def verify(batches):
         for batch in batches:
             keep = []
             at, room = 0, 0
-            left, right = texts_of(batch.column(2)), texts_of(batch.column(3))
+            left, right = texts_of(batch.column(n)), texts_of(batch.column(n + 1))
             for i in range(len(left)):
                 room += len(left[i]) + len(right[i])
                 if room > CHUNK_BYTES or i + 1 == len(left) or i + 1 - at == 1 << (_DOC_BITS - 1):
-                    n = i + 1 - at
+                    m = i + 1 - at
                     owner, h, count = shingles(words_of(left[at : i + 1] + right[at : i + 1]))
-                    first = np.searchsorted(owner, np.arange(2 * n + 1))
+                    first = np.searchsorted(owner, np.arange(2 * m + 1))
                     own = lambda t: (h[first[t] : first[t + 1]], count[first[t] : first[t + 1]])  # noqa: B023, E731
-                    keep += [max(similarities(own(t), own(n + t))) >= THRESHOLD - 1e-9 for t in range(n)]
+                    keep += [max(similarities(own(t), own(m + t))) >= THRESHOLD - 1e-9 for t in range(m)]
                     at, room = i + 1, 0
-            yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
+            yield batch.filter(pa.array(keep, pa.bool_())).select(list(range(n)))
         give_back()
 
     ship(pairs.sparkSession)
-    return both.mapInArrow(verify, both.select("u", "v").schema)
+    return both.mapInArrow(verify, pairs.schema)
 
 
-def _small(table: DataFrame) -> DataFrame:
-    """A stored table, to be broadcast if it is counted to have no more than BROADCAST_ROWS rows."""
-    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("key", "leader")).alias("key"))
 
 
-def _texts(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(node, text) of the wanted nodes, once each. Up to BROADCAST_ROWS nodes are sent to the texts; else both are dealt by id."""
-    needed = stored(nodes.distinct().select("node.doc_id", "node.key"), "needed")
-    needed = F.broadcast(needed) if needed.count() <= BROADCAST_ROWS else needed.hint("merge")
-    found = texts.join(needed, ["doc_id", "key"], "left_semi")
-    return stored(found.dropDuplicates(["doc_id", "key"]).select(F.struct("doc_id", "key").alias("node"), "text"), "texts")
-
-
-def _block_pairs(members: DataFrame) -> DataFrame:
-    """For members(band, node, root, main, sketch, ...) rows (band, some, all), lists of members of bounded bytes.
+def _block_pairs(members: DataFrame, tables: Tables) -> DataFrame:
+    """For members(band, key, root, main, sketch, ...) rows (band, some, all, main), lists of members of bounded bytes.
 
     Every member outside its bucket's main component meets every member of the bucket, itself too. The former are in
     blocks of REST_BYTES, the latter in blocks of ALL_BYTES that are dealt out once for each block of the former, in
     lots of LOT blocks, so that a large bucket is many small tasks' work.
     """
-    payload = [c for c in members.columns if c not in ("band", "node", "root", "main")]
-    size = sum((F.octet_length(c) for c in payload), F.lit(64))
+    payload = [c for c in members.columns if c not in ("band", "key", "root", "main")]
+    size = sum((F.size(c) * 8 if c == "bands" else F.octet_length(c) for c in payload), F.lit(64))
     away = F.col("root") != F.col("main")
     blocks = members.groupBy("band").agg(F.ceil(F.sum(size) / ALL_BYTES).cast("int").alias("alls"), F.ceil(F.sum(F.when(away, size)) / REST_BYTES).cast("int").alias("rests")).where("rests > 0")
-    members = members.join(_small(stored(blocks, "blocks")), "band")
-    member = F.struct("node", "root", *payload)
-    dealt = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    members = members.join(tables.stored(blocks, "blocks"), "band")
+    member = F.struct("key", "root", *payload)
+    dealt = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
     lots = F.ceil(F.first("alls") / LOT).cast("int").alias("lots")
-    every = members.groupBy("band", dealt("alls").alias("block")).agg(F.collect_list(member).alias("all"), F.first("rests").alias("n"), lots)
+    every = members.groupBy("band", dealt("alls").alias("block")).agg(F.collect_list(member).alias("all"), F.first("rests").alias("n"), F.first("main").alias("main"), lots)
     every = every.withColumn("lot", F.pmod("block", "lots")).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     rest = members.where(away).groupBy("band", dealt("rests").alias("b")).agg(F.collect_list(member).alias("some"), lots)
     rest = rest.withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1))).drop("lots")
-    return every.join(rest, ["band", "b", "lot"]).select("band", "some", "all")
+    return every.join(rest, ["band", "b", "lot"]).select("band", "some", "all", "main")
 
 
 def _sides(batch: pa.RecordBatch, row: int):
     """The two lists of members of a row of _block_pairs, and their roots as numbers."""
     both = [batch.column(k).slice(row, 1).flatten() for k in (1, 2)]
-    number: dict[tuple, int] = {}
-    roots = [np.array([number.setdefault((n["doc_id"], n["key"]), len(number)) for n in x.field("root").to_pylist()]) for x in both]
+    number: dict[bytes, int] = {}
+    roots = [np.array([number.setdefault(n, len(number)) for n in x.field("root").to_pylist()]) for x in both]
     return both, roots
 
 
@@ -219,8 +290,9 @@ def _near(both: list, roots: list[np.ndarray], band: int) -> tuple[np.ndarray, n
     sides = []
     for x in both:
         # a lone sketch is that of the sets too
-        raw = np.frombuffer(b"".join(k if len(k) > SKETCH_BYTES else k + k for k in x.field("sketch").to_pylist()), dtype=np.uint8).reshape(len(x), 2, SKETCH_BYTES)
-        sides.append((np.ascontiguousarray(raw[:, :, : 2 * REGISTERS]).view(np.uint16), np.ascontiguousarray(raw[:, :, 2 * REGISTERS :]).view(np.int64)))
+        raw = np.frombuffer(b"".join(k if len(k) > SKETCH_BYTES else k + k for k in x.field("sketch").to_pylist()), dtype=np.uint16).reshape(len(x), 2, REGISTERS)
+        bands = np.array([k if len(k) > BANDS else k + k for k in x.field("bands").to_pylist()], dtype=np.int64).reshape(len(x), 2, BANDS)
+        sides.append((raw, bands))
     (a, bands_a), (b, bands_b) = sides
     weighted, sets = (np.ascontiguousarray(b[:, k]) for k in (0, 1))
     repeats_a, repeats_b = ((x[:, 0] != x[:, 1]).any(axis=1) for x in (a, b))
@@ -248,11 +320,11 @@ def _suspects(batches):
             both, roots = _sides(batch, row)
             for x, i in zip(both, _near(both, roots, batch.column(0)[row].as_py()), strict=True):
                 at = pa.array(np.unique(i), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.repeat(batch.column(0)[row], len(at)), x.field("node").take(at)], ["band", "node"])
+                yield pa.RecordBatch.from_arrays([pa.repeat(batch.column(0)[row], len(at)), x.field("key").take(at), x.field("root").take(at), pa.repeat(batch.column(3)[row], len(at))], ["band", "key", "root", "main"])
     give_back()
 
 
-def common(a: list[np.ndarray], b: list[np.ndarray], columns: int = 1 << 13) -> np.ndarray:
+def common(a: list[np.ndarray], b: list[np.ndarray], columns: int = 1 << 11) -> np.ndarray:
     """How many elements each set of a shares with each of b, by products of 0/1 matrices of so many columns."""
     left, right = np.concatenate(a), np.concatenate(b)
     shared = np.intersect1d(left, right)
@@ -306,27 +378,31 @@ def _exact(batches):
                 if x != y and max(similarities((sets[0][k], counts[0][k]), (sets[1][m], counts[1][m]))) >= THRESHOLD - 1e-9:
                     parent[x] = y
                     keep.append(n)
-            u, v = both[0].field("node").take(pa.array(i[keep], pa.int64())), both[1].field("node").take(pa.array(j[keep], pa.int64()))
+            u, v = both[0].field("key").take(pa.array(i[keep], pa.int64())), both[1].field("key").take(pa.array(j[keep], pa.int64()))
             yield pa.RecordBatch.from_arrays([u, v], ["u", "v"])
     give_back()
 
 
-def _in_blocks(buckets: DataFrame, sketches: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame:
-    """Verified links (u, v) between members of one bucket that are in different components.
+def _in_blocks(buckets: DataFrame, sketches: DataFrame, roots: DataFrame, texts: DataFrame, tables: Tables) -> DataFrame | None:
+    """Verified links (u, v) between members of one bucket that are in different components; None if there is none to look at.
 
-    buckets(band, node, leader, size) has the members of buckets of three or more. A bucket whose members are all in
+    buckets(band, key, weight, leader) has the members of buckets of three or more. A bucket whose members are all in
     one component is done. Else its members outside the leader's component meet all members, in blocks: first by
     signature, then, those that have a near pair, by all their shingles.
     """
-    spark = buckets.sparkSession
-    ship(spark)
-    named = buckets.join(roots.withColumnRenamed("root", "known"), "node", "left").withColumn("root", F.coalesce("known", "node"))
-    lead = named.where("node = leader").select("band", F.col("root").alias("main"))
+    ship(buckets.sparkSession)
+    named = tables.stored(buckets.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")), "named")
+    open_ = named.groupBy("band").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.max(F.struct("weight", "key", "root")).alias("top")).where("least <> most").select("band", F.col("top.root").alias("main"))
     # leader pairs are verified already
-    members = stored(named.join(_small(stored(lead, "main")), "band").where("node <> leader or root <> main").select("band", "node", "root", "main"), "members")
-    node = buckets.schema["node"].dataType
-    seen = _block_pairs(members.join(sketches, "node")).mapInArrow(_suspects, T.StructType([T.StructField("band", T.LongType()), T.StructField("node", node)]))
-    seen = stored(seen, "suspects", PAIR_ROWS).distinct()
+    members = tables.stored(named.join(open_, "band").where("key <> leader").select("band", "key", "root", "main"), "members")
+    if members.isEmpty():
+        return None
+    signed = tables.stored(_among(sketches, members.select("key")), "signed")
+    schema = T.StructType([T.StructField("band", T.LongType()), *(T.StructField(c, NODE) for c in ("key", "root", "main"))])
+    seen = _block_pairs(_placed(members, signed), tables).mapInArrow(_suspects, schema)
+    seen = tables.stored(tables.stored(seen, "suspects", PAIR_ROWS).distinct(), "suspects")
+    if seen.isEmpty():
+        return None
     words = [T.StructField("shingles", T.BinaryType()), T.StructField("counts", T.BinaryType())]
 
     def make():
@@ -339,50 +415,54 @@ def _in_blocks(buckets: DataFrame, sketches: DataFrame, roots: DataFrame, texts:
 
         return sets
 
-    found = append_columns(_texts(seen.select("node"), texts), "text", words, make).drop("text")
-    full = members.join(seen, ["band", "node"]).join(sketches, "node").join(stored(found, "sets"), "node")
-    return _block_pairs(full).mapInArrow(_exact, T.StructType([T.StructField("u", node), T.StructField("v", node)]))
+    found = append_columns(_among(texts, seen.select("key")).select("key", "text"), "text", words, make).drop("text")
+    full = _placed(seen, signed.join(tables.stored(found, "sets"), "key"))
+    return _block_pairs(full, tables).mapInArrow(_exact, T.StructType([T.StructField("u", NODE), T.StructField("v", NODE)]))
+
+
+def _placed(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """members(band, key, root, main) with what nodes(key, ...) has; joined by node, of which each has 2 * BANDS places at most."""
+    places = members.groupBy("key").agg(F.collect_list(F.struct("band", "root", "main")).alias("places"))
+    own = [c for c in nodes.columns if c != "key"]
+    return places.join(nodes, "key").select("key", *own, F.explode("places").alias("x")).select("x.band", "key", "x.root", "x.main", *own)
 
 
 def _classes_of_texts(docs: DataFrame) -> DataFrame:
-    """key, class_of_key and repeats of the texts that occur twice or have a near-duplicate: MD5 of the text, smallest
-    doc_id of the class, and rows of the class that have that doc_id. Stored."""
-    keyed = docs.select("doc_id", "text").where(F.col("text").rlike("[0-9A-Za-z\\x{80}-\\x{10FFFF}]")).select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5("text")).alias("key"), "text")
-    counted = keyed.groupBy("key", "doc_id").agg(F.count("*").alias("n")).groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.sum("n").alias("copies"), F.count("doc_id").alias("ids"), F.min_by("n", "doc_id").alias("repeats"))
-    counted = stored(counted, "nodes")
-    identified = keyed.where("doc_id is not null")
-    nodes = counted.where("ids > 0")
-    raw = _sketch(identified.select(F.struct("doc_id", "key").alias("node"), "text"))
-    # of equal texts, the one with the smallest id stands for all
-    sketches = stored(raw.groupBy("node.key").agg(F.min(F.struct("node", "bands", "sketch")).alias("x")).select("x.*"), "sketches")
-    banded = sketches.select("node", F.explode("bands").alias("band"))
-    sizes = stored(banded.groupBy("band").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
-    shared = stored(banded.join(_small(sizes), "band"), "buckets")
-    weight = stored(shared.groupBy("node").agg(F.sum("size").alias("weight")), "weights")
-    leaders = stored(shared.join(_small(weight), "node").groupBy("band").agg(F.max(F.struct("weight", "node")).alias("x")).select("band", F.col("x.node").alias("leader")), "leaders")
-    led = stored(shared.join(_small(leaders), "band"), "led")
-    pairs = stored(led.where("node <> leader").select(F.greatest("node", "leader").alias("u"), F.least("node", "leader").alias("v")).distinct(), "pairs")
-    links = stored(_verified(pairs, identified), "verified", TEXT_ROWS)
-    # nodes that are linked to the same centre are in one component; all that this spares is comparisons
-    both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    centres = both.join(weight.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node")).agg(F.max(F.struct("weight", F.col("v").alias("node"))).alias("best"))
-    centres = stored(centres.join(weight, "node").select("node", F.greatest("best", F.struct("weight", "node"))["node"].alias("root")), "centres")
-    large = led.where("size > 2")
-    more = stored(_in_blocks(large, sketches.select("node", "sketch"), centres, identified), "more", PAIR_ROWS)
-    roots = stored(components(links.union(more)), "roots")
-    linked = roots.select(F.col("node.key").alias("key"), F.col("root.doc_id").alias("root"))
-    named = stored(nodes.join(linked, "key", "left").where("copies > 1 or root is not null").select("key", F.coalesce("root", "doc_id").alias("class_of_key"), "doc_id", "repeats"), "classes")
-    # classes whose smallest id is that of several rows
-    doubled = named.where("doc_id = class_of_key").groupBy("class_of_key").agg(F.sum("repeats").alias("n")).where("n > 1")
-    return stored(named.join(doubled, "class_of_key", "left").select("key", "class_of_key", F.coalesce("n", F.lit(1)).alias("repeats")), "classes")
-
-
-def _with_classes(docs: DataFrame, named: DataFrame) -> tuple[DataFrame, str, str]:
-    """docs with class_of_key and repeats of each row's text, null for texts that are alone; texts move only if named is large."""
-    key, own, of, repeats = (fresh(docs, x) for x in ("text_key", "class_key", "class_of_key", "repeats"))
-    renamed = named.toDF(own, of, repeats)
-    renamed = F.broadcast(renamed) if named.count() <= BROADCAST_ROWS else renamed.hint("merge")
-    return docs.withColumn(key, F.unhex(F.md5("text"))).join(renamed, F.col(key) == F.col(own), "left").drop(key, own), of, repeats
+    """key, class_of_key and keeper of the texts that occur twice or have a near-duplicate. Stored.
+
+    key is the MD5 of a text, class_of_key the smallest doc_id of its class (null if none has one), and keeper whether the
+    text is the one of that id that stays.
+    """
+    with Tables(docs.sparkSession) as tables:
+        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5("text")).alias("key"), "text").where(F.col("text").rlike("[0-9A-Za-z\\x{80}-\\x{10FFFF}]"))
+        sketches = tables.stored(_sketch(texts), "sketches")
+        held = tables.stored(_held(sketches), "held")
+        rows = held.select("key", "weight", F.explode("bands").alias("band"))
+        buckets = rows.groupBy("band").agg(F.max(F.struct("weight", "key")).alias("top"), F.count("*").alias("size")).where("size > 1")
+        led = tables.stored(rows.join(buckets, "band").select("band", "key", "weight", F.col("top.key").alias("leader"), F.col("top.weight").alias("leader_weight"), "size"), "led")
+        pairs = tables.stored(led.where("key <> leader").select("key", "leader", "leader_weight").distinct(), "pairs")
+        links = tables.stored(_verified(pairs, texts, tables), "verified", TEXT_ROWS)
+        # nodes that are linked to the same leader are in one component; all that this spares is comparisons
+        centres = links.groupBy("key").agg(F.max(F.struct("leader_weight", "leader"))["leader"].alias("root"))
+        more = _in_blocks(led.where("size > 2").drop("size", "leader_weight"), sketches, centres, texts, tables)
+        links = links.select(F.col("key").alias("u"), F.col("leader").alias("v"))
+        if more is not None:
+            links = links.union(tables.stored(more, "more", PAIR_ROWS))
+        roots = components(links, tables).withColumnRenamed("node", "key")
+        counted = texts.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+        nodes = tables.stored(counted.join(roots, "key", "left").where("copies > 1 or root is not null").withColumn("root", F.coalesce("root", "key")), "nodes")
+        first = nodes.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("x")).select("root", F.col("x.doc_id").alias("class_of_key"), F.col("x.key").alias("first"))
+        return tables.result(nodes.join(first, "root").select("key", "class_of_key", (F.col("key") == F.col("first")).alias("keeper")), "classes")
+
+
+def _with_classes(docs: DataFrame, named: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of docs whose text is in named, with what named has on it; and all others. Only the former are dealt out."""
+    bits, part, on = in_bitmap(named)
+    row = F.struct(*docs.columns).alias("row")
+    keyed = docs.select(row, F.unhex(F.md5("text")).alias("key")).join(bits, part == F.col("bits_part"), "left").withColumn("maybe", F.coalesce(on, F.lit(False)))
+    found = keyed.where("maybe").select("row", "key").join(named, "key", "left")
+    rest = keyed.where("not maybe").select("row.*")
+    return found, rest
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, str]:
@@ -394,20 +474,20 @@ def classes(docs: DataFrame) -> tuple[DataFrame, str]:
     word: each of those rows is alone and keeps its own doc_id as class. Null ids count as absent: a class has the
     smallest id that is not null, else null. An empty table gives an empty table.
     """
-    out, of, repeats = _with_classes(docs, _classes_of_texts(docs))
     name = fresh(docs, "class_id")
-    return out.withColumn(name, F.coalesce(of, F.col("doc_id").cast("long"))).drop(of, repeats), name
+    found, rest = _with_classes(docs, _classes_of_texts(docs))
+    found = found.select("row.*", F.when(F.col("keeper").isNull(), F.col("row.doc_id").cast("long")).otherwise(F.col("class_of_key")).alias(name))
+    return found.union(rest.withColumn(name, F.col("doc_id").cast("long"))), name
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Of each class of near-duplicates the row with the smallest doc_id. Of repeats of that row, one stays.
+    """Of each class of near-duplicates the row with the smallest doc_id; of rows that repeat its id and text, one.
 
-    Rows alone in their class stay as they are; rows without a doc_id stay unless their class has a row with one.
+    Rows alone in their class, null texts and texts without a word stay as they are. In a class without any doc_id one row
+    of the text whose MD5 is smallest stays. An empty table gives an empty table; columns pass through.
     """
-    named = _classes_of_texts(docs)
-    out, of, repeats = _with_classes(docs, named)
-    first = out.where(F.col(of).isNull() | (F.col("doc_id") == F.col(of)))
-    if named.where("repeats > 1").isEmpty():
-        return first.select(*docs.columns)
-    once = first.where(F.coalesce(F.col(repeats), F.lit(1)) == 1)
-    return once.union(first.where(F.col(repeats) > 1).dropDuplicates(["doc_id", of])).select(*docs.columns)
+    found, rest = _with_classes(docs, _classes_of_texts(docs))
+    alone = found.where("keeper is null").select("row.*")
+    # equal texts are in one task already, where they were joined by their key
+    first = found.where(F.col("keeper") & F.col("row.doc_id").cast("long").eqNullSafe(F.col("class_of_key"))).dropDuplicates(["key"]).select("row.*")
+    return rest.union(alone).union(first)
