@@ -72,8 +72,12 @@ class Tables:
         return self
 
     def __exit__(self, *_) -> None:
+        self.remove()
+
+    def remove(self) -> None:
         for path in self.paths:
             remove(self.spark, path)
+        self.paths = []
 
     def stored(self, df: DataFrame, what: str, batch: int | None = None) -> DataFrame:
         out, path = _stored(df, what, batch)
