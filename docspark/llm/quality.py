@@ -1,6 +1,6 @@
 """Quality rules and a hashed n-gram log-likelihood ratio, in DataFrame functions only.
 
-The n-grams are pairs of the endings (last characters) of neighbouring words, hashed into BUCKETS.
+The n-grams are the words and the pairs of neighbouring words, hashed into BUCKETS.
 Two multinomials with add-one-half smoothing are counted over them: one over trusted documents, one over all documents.
 A document's ratio is the mean over its n-grams of log(trusted) - log(all); it is kept from a fixed threshold on.
 """
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from docspark.llm.common import fresh, thinned
 
-BUCKETS, ENDING = 1 << 14, 3
+BUCKETS = 1 << 14
 #: Trusted documents that the target is counted over, at most: those with the smallest hashes of their id.
 TRUSTED_ROWS = 20_000
 THRESHOLD = -0.2
@@ -25,6 +25,10 @@ SPACES = " \t\n\x0b\f\r"
 GAP, WORD, SYMBOL = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]", r"[#*$%&|<>]"
 
 
+def bucket(h: Column) -> Column:
+    return F.pmod(h, F.lit(BUCKETS)).cast("int")
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -34,17 +38,17 @@ def words(text: Column) -> Column:
     return let(F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES)), lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, GAP, -1)))
 
 
-def endings(w: Column) -> Column:
-    return F.transform(w, lambda x: F.substring(x, -ENDING, ENDING))
+def word_hashes(w: Column) -> Column:
+    return F.transform(w, lambda x: F.xxhash64(x))
 
 
-def buckets(ends: Column) -> Column:
-    """Bucket of each pair of neighbouring endings, the last one's being with a line end; ends is used more than once."""
-    return F.transform(ends, lambda e, i: F.pmod(F.xxhash64(e, F.coalesce(F.get(ends, i + 1), F.lit("\n"))), F.lit(BUCKETS)).cast("int"))
+def pair_hashes(h: Column, step: int = 1) -> Column:
+    """For each hash that of it and the hash `step` places on; the last `step` are of one hash only."""
+    return F.transform(h, lambda x, i: F.xxhash64(x, F.get(h, i + step)))
 
 
-def repeated_words(w: Column) -> Column:
-    """Words that lie in a window of WINDOW words which the text has twice or more."""
+def repeated_words(pairs: Column) -> Column:
+    """Words that lie in a window of WINDOW words which the text has twice or more. pairs: hashes of neighbouring words."""
 
     def covered(starts: Column) -> Column:
         # starts of such windows in order: each covers WINDOW words but for those that the next one covers
@@ -61,24 +65,24 @@ def repeated_words(w: Column) -> Column:
         return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), let(ordered, flagged)).otherwise(0)
 
     def with_next(step: int) -> Callable[[Column], Column]:
-        return lambda h: F.transform(h, lambda x, i: F.xxhash64(x, F.get(h, i + step)))
+        return lambda h: pair_hashes(h, step)
 
-    # hashes of 1, 2, 4 and 8 words, each of two of the former; the last seven are cut off, as they are of fewer words
-    hashes = F.transform(w, lambda x: F.xxhash64(x))
-    for step in (1, 2, 4):
+    # hashes of 2, 4 and 8 words, each of two of the former; the last seven are cut off, as they are of fewer words
+    hashes = pairs
+    for step in (2, 4):
         hashes = let(hashes, with_next(step))
-    return F.when(F.size(w) > WINDOW, let(F.slice(hashes, 1, F.size(w) - (WINDOW - 1)), repeats)).otherwise(0).cast("long")
+    return F.when(F.size(pairs) > WINDOW, let(F.slice(hashes, 1, F.size(pairs) - (WINDOW - 1)), repeats)).otherwise(0).cast("long")
 
 
-def rules(w: Column, text: Column) -> dict[str, Column]:
-    """The counts of the rules; w holds the words of text."""
+def rules(w: Column, repeated: Column, text: Column) -> dict[str, Column]:
+    """The counts of the rules; w holds the words of text, of which so many are repeated."""
     lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda x: x.rlike(WORD))
     return {
         "n_words": F.size(w).cast("long"),
         "word_chars": F.length(F.array_join(w, "")).cast("long"),
         "n_symbols": F.coalesce(F.regexp_count(text, F.lit(SYMBOL)), F.lit(0)).cast("long"),
         "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-        "n_repeat_words": repeated_words(w),
+        "n_repeat_words": repeated,
     }
 
 
@@ -90,7 +94,10 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, text: str = "text", most: in
     """
     ids = thinned(trusted.select(F.col("doc_id").alias("trusted_id")).where("trusted_id is not null"), "trusted_id", most, 5).distinct().orderBy(F.xxhash64("trusted_id", F.lit(5)), "trusted_id").limit(most)
     rows = docs.select(F.col("doc_id").alias("id"), words(F.col(text)).alias("w")).join(F.broadcast(ids), F.col("id") == F.col("trusted_id"), "left")
-    grams = rows.select(F.col("trusted_id").isNotNull().cast("long").alias("t"), F.explode(let(endings(F.col("w")), buckets)).alias("bucket"))
+    # neighbours are put side by side before they are hashed, which whole-stage code then does
+    both = rows.select(F.col("trusted_id").isNotNull().cast("long").alias("t"), F.explode(F.arrays_zip(F.col("w").alias("a"), F.slice("w", F.lit(2), F.greatest(F.size("w"), F.lit(1))).alias("b"))).alias("x"))
+    both = both.select("t", F.xxhash64("x.a").alias("h"), F.when(F.col("x.b").isNotNull(), F.xxhash64(F.xxhash64("x.a"), F.xxhash64("x.b"))).alias("p"))
+    grams = both.select("t", F.explode(F.array("h", "p")).alias("g")).where("g is not null").select("t", bucket(F.col("g")).alias("bucket"))
     raw, target = [0.5] * BUCKETS, [0.5] * BUCKETS
     for r in grams.groupBy("bucket").agg(F.sum("t").alias("t"), F.count("*").alias("n")).collect():  # BUCKETS rows
         raw[r.bucket] += r.n
@@ -108,22 +115,29 @@ def judge(docs: DataFrame, ratios: list[float], text: str = "text", threshold: f
     than 20 words, or over 30 % of them repeated. kept: not base_failed, and the ratio is at least the threshold. A null
     or empty text has no words and a ratio of 0. Whole texts count; equal texts get equal results.
     """
-    w, row = fresh(docs, "split_words"), fresh(docs, "whole_row")
     names = {k: fresh(docs, k) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "ratio", "base_failed", "kept")}
     model = F.from_json(F.lit(json.dumps(ratios)), "array<double>")
+    total = lambda hashes: F.aggregate(hashes, F.lit(0.0), lambda a, h: a + F.get(model, bucket(h)))
 
-    def mean(ends: Column) -> Column:
-        total = F.aggregate(buckets(ends), F.lit(0.0), lambda a, b: a + F.get(model, b))
-        return F.when(F.size(ends) > 0, total / F.size(ends)).otherwise(0.0)
+    def stats(h: Column, p: Column) -> Column:
+        n = F.size(h)
+        mean = F.when(n > 0, (total(h) + total(F.slice(p, F.lit(1), F.greatest(n - 1, F.lit(0))))) / (2 * n - 1)).otherwise(0.0)
+        return F.struct(repeated_words(p).alias("repeated"), mean.alias("ratio"))
 
-    out = docs.select(F.struct(*docs.columns).alias(row), F.col(text).alias("split_text"), words(F.col(text)).alias(w))
-    out = out.select(row, *(c.alias(names[k]) for k, c in rules(F.col(w), F.col("split_text")).items()), let(endings(F.col(w)), mean).alias(names["ratio"]))
+    # hashes are bound by let(), not columns: the optimizer could put a column's expression into a lambda, for each element
+    out = docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("t"), words(F.col(text)).alias("w"))
+    out = out.select("row", "t", "w", let(word_hashes(F.col("w")), lambda h: let(pair_hashes(h), lambda p: stats(h, p))).alias("s"))
+    out = out.select("row", *(c.alias(names[k]) for k, c in rules(F.col("w"), F.col("s.repeated"), F.col("t")).items()), F.col("s.ratio").alias(names["ratio"]))
     out = out.withColumn(names["base_failed"], (F.col(names["n_words"]) < LEAST_WORDS) | (100 * F.col(names["n_repeat_words"]) > MOST_REPEATED * F.col(names["n_words"])))
     out = out.withColumn(names["kept"], ~F.col(names["base_failed"]) & (F.col(names["ratio"]) >= threshold))
-    return out.select(f"{row}.*", *names.values()), names
+    return out.select("row.*", *names.values()), names
 
 
 def keep_good(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """The rows of docs that are kept, as they are."""
+    """The rows of docs that are kept, as they are.
+
+    Null, empty and short texts go, as judge() says; repeated rows stay or go together; an empty table gives an empty table.
+    Without any trusted document only the rules decide.
+    """
     out, names = judge(docs, log_ratios(docs, trusted))
     return out.where(names["kept"]).select(*docs.columns)
