@@ -1,6 +1,7 @@
 """Every text that a license rule can match, by all its alternatives."""
 
 import itertools
+import re
 
 try:
     from re import _parser as parser
@@ -59,3 +60,17 @@ def test_whatever_a_rule_matches_contains_its_keyword(spark):
     texts = [("mit", "released under the Expat License"), ("python-2", "the PSF license"), ("wtfpl", "Do What The Fuck You Want To Public License")]
     out, names = licenses.find(spark.createDataFrame(texts, "label string, text string"))
     assert all({d.label for d in r[names["kept"]]} == {r.label} for r in out.collect())
+
+
+def test_each_rule_fires_on_a_text_with_nothing_else_and_no_rule_is_lost(spark):
+    rows = [(r["rank"], expand(parser.parse(r["p"]))[-1]) for r in licenses.rules()]
+    assert len(rows) > 400 and len(licenses.SENTENCES) > 120
+    rows += [(10_000, "\n".join(t for _, t in rows)), (10_001, " filler words ".join(t for _, t in rows[::3]))]
+    out, names = licenses.find(spark.createDataFrame(rows, "rank int, text string"))
+    for r in out.collect():
+        found = {(d.start, -d.neg_end, d.rank) for d in r[names["detections"]]}
+        norm = " " + " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", r.text)) + " "
+        want = {(norm[: m.start()].count(" "), norm[: m.end()].count(" "), x["rank"]) for x in licenses.rules() if x["k"] in norm for m in re.finditer(x["p"], norm)}
+        assert found == want and (r.rank >= 10_000 or any(k == r.rank for _, _, k in found))
+        kept = {(d.start, -d.neg_end, d.rank) for d in r[names["kept"]]}
+        assert kept == {d for d in want if not any(e[0] <= d[0] and e[1] >= d[1] and e[2] < d[2] for e in want)}
