@@ -101,7 +101,7 @@ ORACLE_SQL["op3_mixing"] = OP3_SQL
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, _ = secrets.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_confirmed", "score")
 
 
 QUERIES["op10_secrets"] = op10_secrets

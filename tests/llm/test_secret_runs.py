@@ -1,12 +1,13 @@
 """Secrets inside longer runs of token characters."""
 
 from docspark.llm import secrets
+from tests.llm.test_operators import secret_network
 
 TOKEN = "Zk3Jq9Xw7Lp2Vt8Nc5RbQm4Ty6HdGs1Fa0Ue"
 
 
 def test_a_run_that_a_rule_touches_is_judged_in_pieces():
-    net = secrets.train(secrets.labelled_findings())
+    net = secret_network()
     for text in (f"https://discord.com/api/webhooks/123456789012345678/{TOKEN}", f"id 1234567890123456_{TOKEN} end", f"{TOKEN}/0123456789abcdef0123/{TOKEN}"):
         spans = secrets.base_spans(text)
         found = secrets.candidates(text, spans)
@@ -17,7 +18,7 @@ def test_a_run_that_a_rule_touches_is_judged_in_pieces():
 
 
 def test_the_middle_of_a_long_run_is_read():
-    net = secrets.train(secrets.labelled_findings())
+    net = secret_network()
     head, tail = "io/files/v2/public/downloads/", "/reports/yearly/summary/index"
     path = head + TOKEN[:20] + tail
     assert net.score([("https://x.", path, " ")])[0] >= net.threshold
