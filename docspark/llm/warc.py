@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docspark.cluster import ship
-from docspark.llm.common import scratch, stored, texts_of
+from docspark.llm.common import Tables, scratch, stored, texts_of
 
 MAGIC = b"\x1f\x8b\x08"
 #: Bytes of an archive that one task reads, of an archive at most (about), and of a read.
@@ -30,6 +31,8 @@ LEVEL = 1
 LEAST_BYTES = 0
 #: Digests that occur twice or more, of about 60 bytes each, are broadcast up to this number; else joined by shuffle.
 BROADCAST_ROWS = 300_000
+#: Bytes of a record's header, at most, and bytes that are unpacked at once.
+HEAD_BYTES, MOST_UNPACKED = 1 << 20, 1 << 20
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 DATE = "1970-01-01T00:00:00Z"
 
@@ -58,13 +61,15 @@ def write(pages: DataFrame, folder: str, least: int = LEAST_BYTES) -> DataFrame:
 
     Of records with equal payloads of at least `least` bytes the one with the smallest page_id is the response, and the
     others revisit it. A null html is an empty payload. A null page_id is written as `null` and revisits a page that has
-    an id; without one it is a response. Rows that repeat the smallest id are responses all. An empty table gives no
-    archive. A task that is run again writes new files; only those of the successful run are in the table.
+    an id; without one it is a response. Rows that repeat the smallest id are responses all. Other columns are not read.
+    An empty table gives no archive. A task that is run again writes new files; only those of the successful run are in
+    the table, and the others go when the folder goes.
     """
     spark = pages.sparkSession
     payload = F.coalesce("html", F.lit(""))
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"), F.sha1(payload).alias("sha1"))
-    first = stored(own.where(F.octet_length("payload") >= least).groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("sha1", "first"), "digests")
+    tables = Tables(spark)
+    first = tables.stored(own.where(F.octet_length("payload") >= least).groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("sha1", "first"), "digests")
     first = F.broadcast(first) if first.count() <= BROADCAST_ROWS else first.hint("merge")
     rows = own.join(first, "sha1", "left").select("page_id", "url", "payload", "sha1", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
 
@@ -95,7 +100,8 @@ def write(pages: DataFrame, folder: str, least: int = LEAST_BYTES) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([f"{name}/{p.rpartition('/')[2]}" for p, _, _ in done]), pa.array([n for _, n, _ in done], pa.int64()), pa.array([n for _, _, n in done], pa.int64())], ["path", "bytes", "records"])
 
     ship(spark)
-    return stored(rows.mapInArrow(put, "path string, bytes long, records long"), "archives")
+    with tables:
+        return stored(rows.mapInArrow(put, "path string, bytes long, records long"), "archives")
 
 
 class Range:
@@ -114,43 +120,49 @@ class Range:
             self.data += self.source.read(max(n, 1 << 20))
         return self.data[lo : lo + n]
 
-    def member(self, at: int, head_only: bool = False) -> tuple[bytes, int] | None:
-        """The content of the member at a place, and where the next starts; None if it doesn't decode."""
-        z, parts, pos = zlib.decompressobj(31), [], at
+    def head(self, at: int) -> bool:
+        """Whether a member at a place begins like a record."""
+        try:
+            return self.bytes(at, 3) == MAGIC and zlib.decompressobj(31).decompress(self.bytes(at, PIECE), 7) == b"WARC/1."
+        except zlib.error:
+            return False
+
+    def record(self, at: int, searched: bool) -> tuple[dict[str, str], bytes, int] | None:
+        """Header, block and end of the record at a place. searched: it was not reached from a record before it.
+
+        A member is unpacked by pieces, and no further than its header says that its block is long.
+        """
+        if not self.head(at):
+            return None
+        z, content, pos, header, least = zlib.decompressobj(31), bytearray(), at, None, 0
         try:
             while not z.eof:
-                piece = self.bytes(pos, PIECE)
+                piece = z.unconsumed_tail or self.bytes(pos, PIECE)
+                if not z.unconsumed_tail:
+                    pos += len(piece)
                 if not piece:
                     return None
-                parts.append(z.decompress(piece))
-                pos += len(piece)
-                if len(parts) == 1 and parts[0][:7] != b"WARC/1."[: len(parts[0])]:
+                content += z.decompress(piece, MOST_UNPACKED)
+                if header is None:
+                    mark = content.find(b"\r\n\r\n")
+                    if mark < 0 and len(content) > HEAD_BYTES:
+                        return None
+                    if mark >= 0:
+                        lines = content[:mark].decode("utf-8", "replace").split("\r\n")
+                        header = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+                        if not header.get("content-length", "").isdigit():
+                            return None
+                        least = mark + 4 + int(header["content-length"])
+                if header is not None and len(content) > least + 4:
                     return None
-                if head_only and sum(map(len, parts)) >= 7:
-                    break
         except zlib.error:
             return None
-        return b"".join(parts), pos - len(z.unused_data)
-
-    def record(self, at: int, searched: bool) -> tuple[dict[str, str], bytes, int] | None:
-        """Header, block and end of the record at a place. searched: it was not reached from a record before it."""
-        if self.bytes(at, 3) != MAGIC:
-            return None
-        found = self.member(at)
-        if found is None:
-            return None
-        content, end = found
-        head, mark, rest = content.partition(b"\r\n\r\n")
-        lines = head.decode("utf-8", "replace").split("\r\n")
-        header = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        if not mark or not lines[0].startswith("WARC/1.") or not header.get("content-length", "").isdigit():
-            return None
-        n = int(header["content-length"])
-        if len(rest) != n + 4 or rest[n:] != b"\r\n\r\n":
+        if header is None or len(content) != least + 4 or content[least:] != b"\r\n\r\n":
             return None
-        if searched and end < self.size and (self.bytes(end, 3) != MAGIC or self.member(end, head_only=True) is None):
+        end = pos - len(z.unused_data)
+        if searched and end < self.size and not self.head(end):
             return None
-        return header, rest[:n], end
+        return header, bytes(content[mark + 4 : least]), end
 
     def records(self) -> Iterator[tuple[dict[str, str], bytes]]:
         at, searched = self.start, self.start > 0
@@ -171,37 +183,61 @@ class Range:
             at = self.at + k if k >= 0 else self.end
 
 
-SCHEMA = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload string"
+SCHEMA = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload string, record_id string"
+_PAGE = re.compile(r"<urn:page:(-?[0-9]{1,19})>")
+
+
+def _fields(path: str, header: dict[str, str], block: bytes, payloads: bool) -> tuple | None:
+    """A row of SCHEMA for a record; None for one that holds no page (warcinfo, request, metadata and the like)."""
+    kind = header.get("warc-type", "").lower()
+    if kind not in ("response", "resource", "revisit"):
+        return None
+    page = lambda urn: int(m[1]) if (m := _PAGE.fullmatch(urn or "")) else None
+    stated, text = header.get("warc-payload-digest", ""), None
+    sha1 = stated[5:].upper() if stated.lower().startswith("sha1:") else None
+    if sha1 and re.fullmatch("[0-9A-F]{40}", sha1):
+        sha1 = base64.b32encode(bytes.fromhex(sha1)).decode()
+    size = header.get("warc-payload-length", "")
+    n = int(size) if size.isdigit() else None
+    if kind != "revisit":
+        http = header.get("content-type", "").lower().startswith("application/http")
+        payload = block.partition(b"\r\n\r\n")[2] if http else block
+        own = digest(payload)
+        if (sha1 or own) != own or (len(payload) if n is None else n) != len(payload):
+            raise ValueError(f"{path}: {header.get('warc-record-id')} does not meet its digest")
+        n, sha1 = len(payload), own
+        text = payload.decode("utf-8", "replace") if payloads else None
+    return page(header.get("warc-record-id")), header.get("warc-target-uri"), "revisit" if kind == "revisit" else "response", page(header.get("warc-refers-to")), n, sha1, text, header.get("warc-record-id")
 
 
 def read(archives: DataFrame, payloads: bool = True, split: int = SPLIT_BYTES) -> DataFrame:
-    """The records of archives(path, bytes): page_id, url, record_type, refers_to, payload_bytes, payload_digest, payload.
+    """The records of archives(path, bytes): page_id, url, record_type, refers_to, payload_bytes, payload_digest, payload, record_id.
 
     payload is null for revisits, or for all if payloads is False. A response whose payload does not meet its digest or
-    length raises. The number of ranges, not of records, is what the driver counts.
+    length raises. Of archives that others wrote: records of other types than response, resource (a response here) and
+    revisit are skipped; page_id and refers_to are null for ids that are not of write()'s form; length and digest are taken
+    from the payload, and for revisits from the header, null where it has none; bytes that are not UTF-8 are replaced; a
+    member that is no record is passed over. An archive of 0 bytes has no records. The number of ranges, not of records,
+    is what the driver counts.
     """
     spark = archives.sparkSession
     ranges = archives.where("bytes > 0").select("path", "bytes", F.explode(F.sequence(F.lit(0), F.col("bytes") - 1, F.lit(split))).alias("start"))
     many = archives.agg(F.coalesce(F.sum(F.ceil(F.col("bytes") / split)), F.lit(0)).alias("n")).first().n
 
     def get(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        page = lambda urn: None if urn is None or urn == "<urn:page:null>" else int(urn[len("<urn:page:") : -1])
-        names = ["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"]
-        kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+        names = ["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload", "record_id"]
+        kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
         for batch in batches:
             for path, size, start in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 where, name = fs.FileSystem.from_uri(path)
                 rows, room = [], 0
                 with where.open_input_file(name) as source:
                     for header, block in Range(source, size, start, start + split).records():
-                        sha1, n, text = header["warc-payload-digest"].removeprefix("sha1:"), int(header["warc-payload-length"]), None
-                        if header["warc-type"] == "response":
-                            payload = block.partition(b"\r\n\r\n")[2]
-                            if len(payload) != n or digest(payload) != sha1:
-                                raise ValueError(f"{path}: {header['warc-record-id']} does not meet its digest")
-                            text = payload.decode() if payloads else None
-                        rows.append((page(header["warc-record-id"]), header.get("warc-target-uri"), header["warc-type"], page(header.get("warc-refers-to")), n, sha1, text))
-                        room += n if text else 0
+                        row = _fields(path, header, block, payloads)
+                        if row is None:
+                            continue
+                        rows.append(row)
+                        room += len(block) if payloads else 0
                         if len(rows) == 4096 or room > 8 << 20:
                             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
                             rows, room = [], 0
