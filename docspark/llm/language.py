@@ -19,8 +19,11 @@ from pyspark.sql import types as T
 from docspark.llm.common import append_columns, fresh, ship, texts_of
 from docspark.llm.toxicity import held_out
 
-DIMS, NGRAM, SYMBOLS = 1024, 3, 128
-#: Labelled texts that are learned from, at most about: those whose id's hash is under the share that gives so many.
+DIMS, NGRAM, SYMBOLS = 1024, 3, 4096
+#: Letters under this code point have a symbol of their own.
+OWN = 0x250
+#: Labelled texts that are learned from, at most about, in equal parts for each language: those whose id's hash is under the
+#: share that gives so many.
 TRAIN_ROWS = 40_000
 UNKNOWN = "und"
 #: Entries of the matrix of counts that are made at once.
@@ -32,21 +35,23 @@ _TABLES: list[np.ndarray] = []
 def tables() -> tuple[np.ndarray, np.ndarray]:
     """For each code point its symbol, 0 for what is not a letter; and the vectors of the symbols, for each place in an n-gram.
 
-    a to z have symbols of their own, and so have letters up to U+024F that are lower case; all others share the rest.
+    Lower-case letters under OWN have symbols of their own, and a letter's case does not matter; all others are hashed
+    into the rest, of which there are far more than a language beyond the large scripts has letters.
     """
     if not _TABLES:
-        symbol = np.zeros(0x110000, dtype=np.uint8)
+        symbol = np.zeros(0x110000, dtype=np.uint16)
         own: dict[str, int] = {}
-        rest = lambda c: SYMBOLS - 32 + (ord(c) * 2654435761 >> 7) % 32
+        low_letters = [chr(cp) for cp in range(OWN) if unicodedata.category(chr(cp))[0] == "L" and chr(cp).lower()[:1] == chr(cp)]
+        for c in low_letters:
+            own[c] = len(own) + 1
+        rest = len(own) + 1
         for cp in range(0x110000):
             c = chr(cp)
             if unicodedata.category(c)[0] == "L":
                 low = c.lower()[:1]
-                if low not in own:
-                    own[low] = len(own) + 1 if ord(low) < 0x250 and len(own) + 1 < SYMBOLS - 32 else rest(low)
-                symbol[cp] = own[low]
+                symbol[cp] = own.get(low) or rest + (ord(low) * 2654435761 >> 7) % (SYMBOLS - rest)
         rng = np.random.default_rng(7)
-        letters = rng.choice(np.array([-1, 1], dtype=np.float32), (SYMBOLS, DIMS))
+        letters = rng.choice(np.array([-1, 1], dtype=np.int8), (SYMBOLS, DIMS))
         order = rng.permutation(DIMS)
         places = [letters]
         for _ in range(NGRAM - 1):
@@ -65,7 +70,7 @@ def bundles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     codes = symbol[np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32)]
     ends = np.cumsum([1, *(len(t) + 1 for t in texts)])
     keep = np.flatnonzero((codes[1:] != 0) | (codes[:-1] != 0)) + 1  # one gap after each word
-    codes = codes[keep].astype(np.int32)
+    codes = codes[keep].astype(np.int64)
     text = np.searchsorted(ends, keep, "right") - 1
     letters = np.bincount(text[codes != 0], minlength=len(texts)) > 0
     out = np.zeros((len(texts), DIMS), dtype=np.float32)
@@ -77,12 +82,10 @@ def bundles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     gram = (before * SYMBOLS + codes) * SYMBOLS + after
     some = np.flatnonzero(codes != 0)  # the middle of an n-gram is a letter
     gram, text = gram[some], text[some]
-    known = np.zeros(SYMBOLS**NGRAM, dtype=np.int32)
-    known[gram] = 1
-    grams = np.flatnonzero(known)
-    known[grams] = np.arange(len(grams))
-    vectors = places[2][grams // SYMBOLS**2] * places[1][grams // SYMBOLS % SYMBOLS] * places[0][grams % SYMBOLS]
-    place = known[gram]
+    if len(gram) == 0:
+        return out, letters
+    grams, place = np.unique(gram, return_inverse=True)
+    vectors = (places[2][grams // SYMBOLS**2] * places[1][grams // SYMBOLS % SYMBOLS] * places[0][grams % SYMBOLS]).astype(np.float32)
     step = max(1, _COUNTS // len(grams))
     first = np.searchsorted(text, np.arange(len(texts) + 1))
     for lo in range(0, len(texts), step):
@@ -121,9 +124,11 @@ def train(docs: DataFrame, most: int = TRAIN_ROWS) -> Profiles:
     """
     spark = docs.sparkSession
     labelled = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out("doc_id")).select("doc_id", "lang", "text")
-    total = docs.count()  # of all rows, which Parquet's footers tell
-    if total > most:
-        labelled = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) < int((1 << 30) * most / total))
+    # ids and languages only are counted; there is a prototype for each language, so their number is small
+    counts = docs.where(F.col("lang").isNotNull() & ~held_out("doc_id")).groupBy("lang").agg(F.count("*").alias("rows_of_lang"))
+    many = counts.count()
+    share = counts.select(F.col("lang"), (F.lit(float(1 << 30)) * most / (F.col("rows_of_lang") * max(1, many))).alias("share"))
+    labelled = labelled.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) < F.col("share"))
 
     def bundle(batches):
         for batch in batches:
